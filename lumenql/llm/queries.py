@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenql.llm import mixing, quality
+from lumenql.llm import mixing, ngram_join, quality
 from lumenql.llm.oracles import ORACLES
 
 
@@ -20,6 +20,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(documents(spark, sf_dir))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mixed(documents(spark, sf_dir, "doc_id", "source", "text"), mixing.size_of(), mixing.quality_of(), keep_text=False)
     return found.select("doc_id", "size", "source_size", "target", "taken")
@@ -27,6 +31,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op9_mixing": op9_mixing,
 }
 

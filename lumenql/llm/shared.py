@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local[0].name}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once for each context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lumenql_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    where = Path(tempfile.mkdtemp(prefix="lumenql-")) / "lumenql_package.zip"
+    with zipfile.ZipFile(where, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(where))
+    sc._lumenql_shipped = True
+
+
 def saved(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Writes `df` as Parquet to the shared folder and reads it again: short lineage, and lost executors cost nothing."""
     spark = df.sparkSession
