@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenql.llm import chaining, mixing, ngram_join, quality, suffix_dedup
+from lumenql.llm import chaining, lexicon, mixing, ngram_join, quality, repair, suffix_dedup
 from lumenql.llm.oracles import ORACLES
 
 
@@ -32,6 +32,20 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(documents(spark, sf_dir))
 
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.read_shards(repair.write_shards(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json")))
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.encoded(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), with_ids=False)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mixed(documents(spark, sf_dir, "doc_id", "source", "text"), mixing.size_of(), mixing.quality_of(), keep_text=False)
     return found.select("doc_id", "size", "source_size", "target", "taken")
@@ -42,6 +56,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_token_files": op6_token_files,
+    "op7_bpe": op7_bpe,
     "op9_mixing": op9_mixing,
 }
 
