@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenql.llm import chaining, lexicon, mixing, ngram_join, quality, repair, suffix_dedup
+from lumenql.llm import audio, chaining, langid, lexicon, licences, mixing, ngram_join, quality, repair, suffix_dedup
 from lumenql.llm.oracles import ORACLES
 
 
@@ -28,6 +28,10 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.without_repeats(documents(spark, sf_dir), with_text=False)
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.media_features(documents(spark, sf_dir), with_media=False)
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(documents(spark, sf_dir))
 
@@ -46,19 +50,31 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.encoded(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), with_ids=False)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licences(documents(spark, sf_dir)).select("doc_id", "licence", F.round("dice", 6).alias("dice"), "n_matches")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mixed(documents(spark, sf_dir, "doc_id", "source", "text"), mixing.size_of(), mixing.quality_of(), keep_text=False)
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return langid.identify(pages, documents(spark, sf_dir, "lang", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
+    "op4_media_columns": op4_media_columns,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_token_files": op6_token_files,
     "op7_bpe": op7_bpe,
+    "op8_license_scan": op8_license_scan,
     "op9_mixing": op9_mixing,
+    "op10_language_id": op10_language_id,
 }
 
 
