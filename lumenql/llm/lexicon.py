@@ -13,7 +13,6 @@ import hashlib
 import heapq
 import json
 import mmap
-import re
 import tempfile
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -22,25 +21,29 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenql.llm import kernel as K
+from lumenql.llm.pieces import PieceTable, word_pieces
 from lumenql.llm.shared import ship
 
 #: Fixed values of the tokenizer file: its word pattern.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: What a plain text doesn't have: controls that libraries class differently, characters past Latin but for common punctuation.
-_ODD = re.compile("[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-ɏ‐-‧‰-›€]|<\\|")
+#: What a plain text doesn't have (RE2): controls and spaces that libraries class differently, a letter whose lower case is two,
+#: characters past Latin but for common punctuation, a special token's sign.
+_ODD = r"[^\x00-\x1b\x20-\x{84}\x{86}-\x{9f}\x{a1}-\x{12f}\x{131}-\x{24f}\x{2010}-\x{2027}\x{2030}-\x{203a}\x{20ac}]|<\|"
 
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Words in the automaton, and bytes of the longest: together they bound what executors get."""
+    """Words in the automaton, and bytes of the longest: together they bound what executors get; pieces a worker remembers."""
 
     words: int = 40_000
     longest: int = 48
-    remembered: int = 200_000
+    remembered: int = 800_000
 
 
 def _byte_letters() -> list[str]:
@@ -188,10 +191,10 @@ class Encoder:
     """Texts to ids and back."""
 
     def __init__(self, path: str, blob: bytes, rule: Lexicon):
-        self.path, self.rule = path, rule
+        self.path = path
         self.merger = merger(path)
         self.automaton = Automaton(blob)
-        self.known: dict[str, tuple[bytes, str]] = {}
+        self.table = PieceTable(self._pieces, (np.uint16, np.uint8), rule.remembered)
         self._library = None
 
     @property
@@ -202,29 +205,49 @@ class Encoder:
             self._library = Tokenizer.from_file(self.path)
         return self._library
 
-    def _chunk(self, chunk: str) -> tuple[bytes, str]:
+    def _pieces(self, pieces: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids and decoded bytes, with a space after each token, of pieces without white space."""
+        tokens, find, merge = self.merger.tokens, self.automaton.find, self.merger.ids
         ids: list[int] = []
-        for word in WORD.findall(chunk):
-            found = self.automaton.find(word)
-            ids += self.merger.ids(word) if found is None else found
-        tokens = self.merger.tokens
-        return np.array(ids, "<u4").tobytes(), " ".join([tokens[i] for i in ids])
-
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """(ids as little-endian 32-bit integers, the decoded text)."""
-        if _ODD.search(text):
-            ids = self.library.encode(text, add_special_tokens=False).ids
-            return np.array(ids, "<u4").tobytes(), self.library.decode(ids, skip_special_tokens=False)
-        chunks = text.lower().split()
-        known = self.known
-        if new := set(chunks).difference(known):
-            if len(known) > self.rule.remembered:
-                known.clear()
-                new = set(chunks)
-            for c in new:
-                known[c] = self._chunk(c)
-        both = [known[c] for c in chunks]
-        return b"".join([b[0] for b in both]), " ".join([b[1] for b in both])
+        many, shown, sizes = [], [], []
+        for piece in pieces:
+            own: list[int] = []
+            for word in WORD.findall(piece):
+                found = find(word)
+                own += merge(word) if found is None else found
+            ids += own
+            many.append(len(own))
+            text = "".join([tokens[i] + " " for i in own]).encode()
+            shown.append(text)
+            sizes.append(len(text))
+        return [(np.array(ids, np.uint16), np.array(many, np.int32)), (np.frombuffer(b"".join(shown), np.uint8), np.array(sizes, np.int32))]
+
+    def encode(self, texts: pa.Array) -> list[tuple[np.ndarray, bytes]]:
+        """(ids as little-endian 32-bit integers, the decoded text in UTF-8) of each text."""
+        texts = texts.fill_null("")
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        plain = pc.utf8_lower(pc.if_else(pa.array(odd), "", texts) if odd.any() else texts)
+        data, ends = K.utf8(plain)
+        hashes, starts, stops, first = word_pieces(data, ends)
+        if len(hashes):
+            slots = self.table.slots_of(hashes, data, starts, stops)
+            (ids, id_ends), (shown, shown_ends) = self.table.gather(0, slots), self.table.gather(1, slots)
+            ids = ids.astype("<u4")
+        else:
+            ids, shown, id_ends, shown_ends = np.zeros(0, "<u4"), np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        a, b = id_ends[first].tolist(), shown_ends[first].tolist()
+        raw = shown.tobytes()
+        out = [(ids[a[i] : a[i + 1]], raw[b[i] : max(b[i], b[i + 1] - 1)]) for i in range(len(ends) - 1)]
+        for i in np.flatnonzero(odd):
+            own = self.library.encode(texts[int(i)].as_py(), add_special_tokens=False).ids
+            out[i] = (np.array(own, "<u4"), self.library.decode(own, skip_special_tokens=False).encode())
+        return out
+
+
+@lru_cache(1)
+def _encoder(path: str, blob: bytes, rule: Lexicon) -> Encoder:
+    """One for a worker process, whose tasks share what it remembers."""
+    return Encoder(path, blob, rule)
 
 
 @lru_cache(1)
@@ -239,23 +262,29 @@ def decode(ids: Iterable[int], path: str) -> str:
 
 def _count(rule: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks: Counter[str] = Counter()
+        held: dict[str, int] = {}
 
         def flush() -> pa.RecordBatch:
             words: Counter[str] = Counter()
-            for c, n in chunks.items():
-                for w in WORD.findall(c):
+            for piece, n in held.items():
+                for w in WORD.findall(piece):
                     words[w] += n
-            chunks.clear()
+            held.clear()
             kept = [(w, n) for w, n in words.items() if len(w.encode()) <= rule.longest]
             return pa.record_batch([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
 
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                if text and not _ODD.search(text):
-                    chunks.update(text.lower().split())
-                if len(chunks) > 400_000:
-                    yield flush()
+        for batch in K.slices(batches, 4 << 20):
+            texts = batch.column("text").fill_null("")
+            plain = pc.utf8_lower(pc.if_else(pc.match_substring_regex(texts, _ODD), "", texts))
+            data, ends = K.utf8(plain)
+            hashes, starts, stops, _ = word_pieces(data, ends)
+            _, place, many = np.unique(hashes, return_index=True, return_counts=True)
+            raw = data.tobytes()
+            for a, b, n in zip(starts[place].tolist(), stops[place].tolist(), many.tolist(), strict=True):
+                piece = raw[a:b].decode()
+                held[piece] = held.get(piece, 0) + n
+            if len(held) > 250_000:
+                yield flush()
         yield flush()
 
     return run
@@ -269,20 +298,18 @@ def frequent_words(docs: DataFrame, rule: Lexicon = Lexicon()) -> list[str]:
 
 def _encode(path: str, shared, rule: Lexicon, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, shared.value, rule)
-        for big in batches:
-            for at in range(0, big.num_rows, 256):
-                batch = big.slice(at, 256)
-                found = [encoder.encode(t or "") for t in batch.column("text").to_pylist()]
-                columns = {
-                    "doc_id": batch.column("doc_id"),
-                    "n_tokens": pa.array([len(i) // 4 for i, _ in found], pa.int64()),
-                    "ids_sha256": pa.array([hashlib.sha256(i).hexdigest() for i, _ in found]),
-                    "decoded_sha256": pa.array([hashlib.sha256(d.encode()).hexdigest() for _, d in found]),
-                }
-                if with_ids:
-                    columns |= {"ids": pa.array([np.frombuffer(i, "<u4").astype(np.int32) for i, _ in found], pa.list_(pa.int32())), "decoded": pa.array([d for _, d in found], pa.string())}
-                yield pa.record_batch(columns)
+        encoder = _encoder(path, shared.value, rule)
+        for batch in K.slices(batches, 2 << 20):
+            found = encoder.encode(batch.column("text"))
+            columns = {
+                "doc_id": batch.column("doc_id"),
+                "n_tokens": pa.array([len(i) for i, _ in found], pa.int64()),
+                "ids_sha256": pa.array([hashlib.sha256(i.tobytes()).hexdigest() for i, _ in found]),
+                "decoded_sha256": pa.array([hashlib.sha256(d).hexdigest() for _, d in found]),
+            }
+            if with_ids:
+                columns |= {"ids": pa.array([i.astype(np.int32) for i, _ in found], pa.list_(pa.int32())), "decoded": pa.array([d.decode() for _, d in found], pa.string())}
+            yield pa.record_batch(columns)
 
     return run
 
