@@ -133,6 +133,12 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return have
 
 
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    s = np.sort(keys)
+    return s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s
+
+
 def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, begin): a stable order that brings equal keys together and where each group begins, with the end."""
     order = np.argsort(keys, kind="stable")

@@ -9,45 +9,58 @@ be decoded alone.  Shards are rows of a Parquet table in the shared folder.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenql.llm import kernel as K
+from lumenql.llm.pieces import PieceTable, spaced_pieces
 from lumenql.llm.shared import saved, ship
 
-#: A run of non-space with the space before it, or white space: the tokenizer's own pieces never cross these.
-_CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-#: Characters that Python and the tokenizer might class differently.
-_ODD = re.compile("[\x1c-\x1f\x85]")
+#: White space beyond ASCII and controls that libraries class differently, and a special token's sign: such texts aren't cut.
+_ODD = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|<\|"
 _MAGIC = b"RPG1"
 
 
 @dataclass(frozen=True)
 class RePair:
-    """Ids of a shard, rounds of replacement, new rules a round, least use of a pair, and chunks a task remembers."""
+    """Ids of a shard, rounds of replacement, new rules a round, least use of a pair, and pieces a worker remembers."""
 
     shard_ids: int = 1 << 20
     rounds: int = 4
     rules: int = 3000
     least: int = 8
-    remembered: int = 300_000
+    remembered: int = 1_200_000
+
+
+_SLOTS = 1 << 18
+
+
+def _slot(pair: np.ndarray) -> np.ndarray:
+    return (pair * np.uint32(0x9E3779B1)) >> np.uint32(14)
 
 
 def compress(ids: np.ndarray, last: np.ndarray, rule: RePair, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, whether each ends a document, rules): rule r is symbol terminals + r."""
+    """(symbols, whether each ends a document, rules): rule r is symbol terminals + r.
+
+    Symbols stay below 2**16, so a pair is a 32-bit key; a round's pairs get one slot of a hash table each."""
+    if terminals >= 1 << 16:
+        raise ValueError("a vocabulary of less than 65536 ids is needed")
     seq, made = ids.astype(np.uint32), 0
     rules: list[np.ndarray] = []
     for _ in range(rule.rounds):
-        if len(seq) < 2:
+        room = min(rule.rules, (1 << 16) - terminals - made)
+        if len(seq) < 2 or room <= 0:
             break
-        pair = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
+        pair = (seq[:-1] << np.uint32(16)) | seq[1:]
         open_ = ~last[:-1]
         s = np.sort(pair[open_])
         head = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
@@ -55,25 +68,30 @@ def compress(ids: np.ndarray, last: np.ndarray, rule: RePair, terminals: int) ->
         often = np.flatnonzero(many >= rule.least)
         if not len(often):
             break
-        if len(often) > rule.rules:
-            often = often[np.argsort(-many[often], kind="stable")[: rule.rules]]
-        chosen = np.sort(s[head[often]])
-        at = np.minimum(np.searchsorted(chosen, pair), len(chosen) - 1)
-        hit = (chosen[at] == pair) & open_
+        often = often[np.argsort(-many[often], kind="stable")[:room]]
+        chosen = s[head[often]]
+        # of pairs that share a slot the most frequent one stays
+        _, once = np.unique(_slot(chosen), return_index=True)
+        chosen = chosen[np.sort(once)]
+        place = np.full(_SLOTS, -1, np.int32)
+        place[_slot(chosen)] = np.arange(len(chosen), dtype=np.int32)
+        at = place[_slot(pair)]
+        hit = open_ & (at >= 0)
+        hit &= chosen[at] == pair
         # of overlapping places every other one, from the left
         where = np.flatnonzero(hit)
+        if not len(where):
+            break
         begin = np.concatenate([[True], np.diff(where) > 1])
         run = np.maximum.accumulate(np.where(begin, np.arange(len(where)), 0))
         where = where[(np.arange(len(where)) - run) % 2 == 0]
-        used = np.bincount(at[where], minlength=len(chosen))
-        useful = used >= 2
+        useful = np.bincount(at[where], minlength=len(chosen)) >= 2
         where = where[useful[at[where]]]
         if not len(where):
             break
         name = np.cumsum(useful) - 1 + terminals + made
         kept = chosen[useful]
-        rules.append(np.stack([(kept >> np.uint64(32)).astype(np.uint32), kept.astype(np.uint32)], axis=1))
-        seq = seq.copy()
+        rules.append(np.stack([kept >> np.uint32(16), kept & np.uint32(0xFFFF)], axis=1))
         seq[where] = name[at[where]]
         stay = np.ones(len(seq), bool)
         stay[where + 1] = False
@@ -132,14 +150,20 @@ class Shard:
         last = np.zeros(len(ids), bool)
         last[ends[1:] - 1] = True
         symbols, last, rules = compress(ids, last, rule, terminals)
-        width = 2 if terminals + len(rules) <= 1 << 16 else 4
+        width = 2
         head = np.array([terminals, len(rules), len(ends) - 1, len(symbols), width], "<u4")
         symbol_ends = np.concatenate([[0], np.flatnonzero(last) + 1])
         parts = (head, rules.astype("<u4"), lengths_of(rules, terminals).astype("<u4"), symbol_ends.astype("<u4"), ends.astype("<u4"), symbols.astype(f"<u{width}"))
         return _MAGIC + b"".join(p.tobytes() for p in parts)
 
     def ids(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.terminals)
+        """All ids: each rule is expanded once, symbols are looked up."""
+        flat = np.concatenate([np.arange(self.terminals, dtype=np.uint32), expand(self.rules.ravel(), self.rules, self.terminals)])
+        length = np.concatenate([np.ones(self.terminals, np.int32), self.lengths.astype(np.int32)])
+        start = np.cumsum(length, dtype=np.int32) - length
+        many = length[self.symbols]
+        upto = np.cumsum(many, dtype=np.int32)
+        return flat[np.repeat(start[self.symbols] - (upto - many), many) + np.arange(upto[-1] if len(upto) else 0, dtype=np.int32)]
 
     def document(self, i: int) -> np.ndarray:
         return expand(self.symbols[self.symbol_ends[i] : self.symbol_ends[i + 1]], self.rules, self.terminals)
@@ -158,28 +182,44 @@ class Shard:
 
 
 class _Tokens:
-    """Byte-level ids by the tokenizers library; pieces it has encoded are remembered."""
+    """Byte-level ids by the tokenizers library; pieces it has encoded are remembered while there is room."""
 
     def __init__(self, path: str, remembered: int):
         from tokenizers import Tokenizer
 
-        self.library, self.remembered = Tokenizer.from_file(path), remembered
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.library = Tokenizer.from_file(path)
         self.size = self.library.get_vocab_size()
-
-    def encode(self, text: str) -> bytes:
-        if _ODD.search(text) or any(s in text for s in self.special):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        chunks, known = _CHUNK.findall(text), self.known
-        if new := set(chunks).difference(known):
-            if len(known) > self.remembered:
-                known.clear()
-                new = set(chunks)
-            fresh = list(new)
-            for c, e in zip(fresh, self.library.encode_batch(fresh, add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[c] for c in chunks])
+        self.table = PieceTable(self._encoded, (np.uint16,), remembered)
+
+    def _encoded(self, pieces: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of pieces, each on its own, in few calls."""
+        flat, many = [], []
+        for at in range(0, len(pieces), 20_000):
+            some = pieces[at : at + 20_000]
+            e = self.library.encode(some, is_pretokenized=True, add_special_tokens=False)
+            flat.append(np.array(e.ids, np.uint16))
+            many.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(some)))
+        return [(np.concatenate(flat), np.concatenate(many).astype(np.int32))]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text, as 16-bit integers."""
+        texts = texts.fill_null("")
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
+        data, ends = K.utf8(plain)
+        hashes, starts, stops, first = spaced_pieces(data, ends)
+        ids, upto = self.table.gather(0, self.table.slots_of(hashes, data, starts, stops)) if len(hashes) else (np.zeros(0, np.uint16), np.zeros(1, np.int64))
+        cut = upto[first].tolist()
+        out = [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        for i in np.flatnonzero(odd):
+            out[i] = np.array(self.library.encode(texts[int(i)].as_py(), add_special_tokens=False).ids, np.uint16)
+        return out
+
+
+@lru_cache(1)
+def _tokens(path: str, remembered: int) -> _Tokens:
+    """One for a worker process, whose tasks share what it remembers."""
+    return _Tokens(path, remembered)
 
 
 _SHARD = "part int, before long, n_ids long, doc_ids binary, nulls binary, shard binary"
@@ -187,31 +227,28 @@ _SHARD = "part int, before long, n_ids long, doc_ids binary, nulls binary, shard
 
 def _write(path: str, rule: RePair, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, part, before = _Tokens(path, rule.remembered), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
+        tokens, part, before = _tokens(path, rule.remembered), TaskContext.get().partitionId(), 0
+        end = np.array([end_id], np.uint16)
         docs: list[int | None] = []
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in held])])
-            ids = np.frombuffer(b"".join(held), "<u4")
-            blob = Shard.pack(ids, ends, rule, tokens.size)
-            row = [[part], [before], [len(ids)], [np.array([d or 0 for d in docs], "<i8").tobytes()], [np.array([d is None for d in docs], np.uint8).tobytes()], [blob]]
+            ends = np.cumsum([0, *(len(x) for x in held)])
+            blob = Shard.pack(np.concatenate(held), ends, rule, tokens.size)
+            row = [[part], [before], [int(ends[-1])], [np.array([d or 0 for d in docs], "<i8").tobytes()], [np.array([d is None for d in docs], np.uint8).tobytes()], [blob]]
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
             return pa.record_batch([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], names=["part", "before", "n_ids", "doc_ids", "nulls", "shard"])
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                for d, text in zip(some.column("doc_id").to_pylist(), some.column("text").to_pylist(), strict=True):
-                    docs.append(d)
-                    held.append(tokens.encode(text or "") + end)
-                    size += len(held[-1]) // 4
-                    if size >= rule.shard_ids:
-                        yield flush()
-                        before += size
-                        docs, held, size = [], [], 0
+        for batch in K.slices(batches, 2 << 20):
+            for d, ids in zip(batch.column("doc_id").to_pylist(), tokens.encode(batch.column("text")), strict=True):
+                docs.append(d)
+                held.append(np.concatenate([ids, end]))
+                size += len(held[-1])
+                if size >= rule.shard_ids:
+                    yield flush()
+                    before += size
+                    docs, held, size = [], [], 0
         if docs:
             yield flush()
 
