@@ -326,26 +326,28 @@ def passages(docs: DataFrame, rule: Chaining = Chaining()) -> DataFrame:
     return texts.groupBy("block").cogroup(chains.groupBy("block")).applyInArrow(_aligned(rule), _PASSAGE_DDL)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Takes the words of `spans` out of each text, with the separators after them."""
-    for batch in K.slices(batches):
-        data, ends = K.utf8(batch.column("text"))
-        _, starts, stops, first = K.words(data, ends)
-        texts = batch.column("text").to_pylist()
-        for r, spans in enumerate(batch.column("_spans").to_pylist()):
-            if not spans:
-                continue
-            base, begin, stop = first[r], ends[r], ends[r + 1]
-            keep = np.ones(stop - begin, bool)
-            n = first[r + 1] - base
-            for s in spans:
-                if s["start_word"] >= n:
-                    continue
-                a = starts[base + s["start_word"]] if s["start_word"] else begin
-                b = starts[base + s["end_word"]] if s["end_word"] < n else stop
-                keep[a - begin : b - begin] = False
-            texts[r] = data[begin:stop][keep].tobytes().decode()
-        yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string())).drop_columns(["_spans"])
+def _cut(spans: str):
+    """Takes the words of the spans in that column out of each text, with the separators after them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in K.slices(batches):
+            data, ends = K.utf8(batch.column("text"))
+            _, starts, stops, first = K.words(data, ends)
+            texts = batch.column("text").to_pylist()
+            for r, own in enumerate(batch.column(spans).to_pylist()):
+                base, begin, stop = first[r], ends[r], ends[r + 1]
+                keep = np.ones(stop - begin, bool)
+                n = first[r + 1] - base
+                for s in own:
+                    if s["start_word"] >= n:
+                        continue
+                    a = starts[base + s["start_word"]] if s["start_word"] else begin
+                    b = starts[base + s["end_word"]] if s["end_word"] < n else stop
+                    keep[a - begin : b - begin] = False
+                texts[r] = data[begin:stop][keep].tobytes().decode()
+            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string())).drop_columns([spans])
+
+    return run
 
 
 def cut_passages(docs: DataFrame, rule: Chaining = Chaining()) -> DataFrame:
@@ -353,9 +355,10 @@ def cut_passages(docs: DataFrame, rule: Chaining = Chaining()) -> DataFrame:
 
     Word positions of a passage hold for every row of its doc_id; a row whose text is shorter is cut to its end."""
     ship(docs.sparkSession)
-    found = saved(passages(docs, rule), "zpassages").groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("_spans"))
-    joined = docs.join(found, "doc_id", "left").select(*docs.columns, "_spans")
-    changed = joined.where("_spans is not null")
-    ddl = docs.schema
-    after = changed.mapInArrow(_cut, ddl).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return joined.where("_spans is null").drop("_spans").unionByName(after)
+    spans = "_spans"
+    while spans in docs.columns:
+        spans += "_"
+    found = saved(passages(docs, rule), "zpassages").groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias(spans))
+    joined = docs.join(found, "doc_id", "left").select(*docs.columns, spans)
+    after = joined.where(F.col(spans).isNotNull()).mapInArrow(_cut(spans), docs.schema).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return joined.where(F.col(spans).isNull()).drop(spans).unionByName(after)

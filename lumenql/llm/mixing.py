@@ -93,5 +93,6 @@ def mixed(docs: DataFrame, size: Column, quality: Column, weights: tuple[int, ..
 
 def mix_sources(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as often as it is taken."""
-    chosen = mixed(docs, size_of(), quality_of())
-    return chosen.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "doc_id", "source", "text")
+    chosen = mixed(whole, size_of(), quality_of(), keep_text=False).where("copies > 0")
+    return chosen.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")

@@ -165,5 +165,6 @@ def judged(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "t
 
 
 def quality_filter(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """The kept documents with their columns."""
-    return judged(docs, rules).where("kept").select(*docs.columns)
+    """The kept documents with their columns, whatever their names."""
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "lang", "source", "text")
+    return judged(whole, rules, keep_text=False).where("kept").select("_row.*")
