@@ -57,42 +57,48 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return s.select("source", "source_size", F.when(F.col("final").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("final") * F.col("w"))).alias("target"))
 
 
-def mixed(docs: DataFrame, size: Column, quality: Column, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, bins: int = 4096, keep_text: bool = True) -> DataFrame:
+def mixed(docs: DataFrame, size: Column, quality: Column, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, bins: int = 4096) -> DataFrame:
     """docs with size, source_size, target, taken and copies (how often a document is taken).
 
-    Keys depend on doc_id and text only, so reruns agree; repeated rows get keys that differ by
-    their order.  Documents of size 0 and null sources are ordinary members.  Of a source's last,
+    Keys depend on doc_id and text only, so reruns agree; rows that repeat a doc_id have one key and are taken
+    in order of size.  Documents of size 0 and null sources are ordinary members.  Of a source's last,
     fractional epoch the documents are taken whose half lies within the budget, so that a source
-    misses its target by half a document at most."""
-    named = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "copies") and (keep_text or c != "text")]
+    misses its target by half a document at most.  Texts stay where they are: what is sorted and shuffled is
+    keys and sizes, and each source's cut comes back as one row."""
+    named = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "copies")]
     digest = F.md5(F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("mix")))
     u = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 48))
-    measured = docs.select(*named, size.cast("long").alias("size"), (-F.log(u) / quality).alias("_key"), digest.alias("_tie"))
-    measured = saved(measured, "zmixing")
-    slim = measured.select("source", "size", "_key")
+    size, key = size.cast("long"), -F.log(u) / quality
+    slim = saved(docs.select("source", size.alias("size"), key.alias("_key"), digest.alias("_tie")), "zmixing")
     goal = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
+    epochs = F.coalesce(F.floor(F.col("target") / F.expr("nullif(source_size, 0)")), F.lit(0)).cast("long")
+    goal = saved(goal.withColumn("_epochs", epochs).withColumn("_rest", F.col("target") - F.col("_epochs") * F.col("source_size")), "zgoals")
     # an exponential key scaled to [0, 1): bins of about equal rows, none outside
     binned = F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * F.lit(float(bins))).cast("int")
     sums = slim.groupBy("source", binned.alias("_bin")).agg(F.sum("size").alias("_sum"))
     ahead = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ahead, goal = ahead.alias("a"), goal.alias("g")
-    plan = ahead.join(goal, F.col("a.source").eqNullSafe(F.col("g.source"))).select(
-        F.col("a.source").alias("_source"), "_bin", "_sum", "_before", "source_size", "target",
-        F.coalesce(F.floor(F.col("target") / F.expr("nullif(source_size, 0)")), F.lit(0)).cast("long").alias("_epochs"),
-    )
-    plan = plan.withColumn("_rest", F.col("target") - F.col("_epochs") * F.col("source_size"))
-    rows = measured.withColumn("_at", binned).join(plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_at") == F.col("_bin")))
-    whole = (F.col("_before") + F.col("_sum")) <= F.col("_rest")
-    none = F.col("_before") >= F.col("_rest")
-    done = rows.where(whole | none).withColumn("_more", F.when(whole, 1).otherwise(0).cast("long"))
+    g = goal.select(F.col("source").alias("_source"), "_rest")
+    plan = ahead.join(g, F.col("source").eqNullSafe(F.col("_source"))).select("_source", "_bin", "_rest", "_before", (F.col("_before") + F.col("_sum")).alias("_after"))
+    whole = plan.where("_after <= _rest").groupBy("_source").agg(F.max("_bin").alias("_last"))
+    # the one bin of a source in which its budget ends
+    ends = plan.where("_after > _rest and _before < _rest")
+    inside = slim.withColumn("_at", binned).join(ends, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_at") == F.col("_bin")))
     upto = F.sum("size").over(Window.partitionBy("_source", "_bin").orderBy("_key", "_tie", "size").rowsBetween(Window.unboundedPreceding, 0))
-    ends = rows.where(~(whole | none)).withColumn("_more", F.when(F.col("_before") + upto - F.col("size") / 2 <= F.col("_rest"), 1).otherwise(0).cast("long"))
-    both = done.unionByName(ends)
-    return both.select(*named, "size", "source_size", "target", ((F.col("_epochs") + F.col("_more")) * F.col("size")).alias("taken"), (F.col("_epochs") + F.col("_more")).alias("copies"))
+    place = lambda k, t, s: F.struct(k.alias("k"), t.alias("t"), s.alias("s"))
+    taken = F.col("_before") + upto - F.col("size") / 2 <= F.col("_rest")
+    cut = inside.withColumn("_taken", taken).where("_taken").groupBy("_source", "_bin").agg(F.max(place(F.col("_key"), F.col("_tie"), F.col("size"))).alias("_cut"))
+    o, w, c = goal.alias("o"), whole.alias("w"), cut.alias("c")
+    sources = o.join(w, F.col("o.source").eqNullSafe(F.col("w._source")), "left").join(c, F.col("o.source").eqNullSafe(F.col("c._source")), "left")
+    sources = saved(sources.select(F.col("o.source").alias("_source"), "source_size", "target", "_epochs", "_last", F.col("c._bin").alias("_end"), "_cut"), "zsources")
+    # one row a source: broadcast while Spark finds it small, a skew-split sort-merge join beyond
+    rows = docs.select(*named, size.alias("size"), key.alias("_key"), digest.alias("_tie")).withColumn("_at", binned).join(sources, F.col("source").eqNullSafe(F.col("_source")))
+    more = F.when(F.col("_at") <= F.col("_last"), 1).when((F.col("_at") == F.col("_end")) & (place(F.col("_key"), F.col("_tie"), F.col("size")) <= F.col("_cut")), 1).otherwise(0)
+    copies = F.col("_epochs") + more.cast("long")
+    return rows.select(*named, "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
 
 
 def mix_sources(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as often as it is taken."""
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "doc_id", "source", "text")
-    chosen = mixed(whole, size_of(), quality_of(), keep_text=False).where("copies > 0")
+    chosen = mixed(whole, size_of(), quality_of()).where("copies > 0")
     return chosen.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")

@@ -71,18 +71,17 @@ def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
         F.lit(0).cast("long"),
         lambda a, x: a + x,
     )
-    out = step.withColumns(
-        {
-            "n_words": F.col("_n").cast("long"),
-            "word_chars": F.length("_j").cast("long"),
-            "n_symbols": F.length(F.regexp_replace("_j", r"[^#*$%&|<>]+", "")).cast("long"),
-            "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-            "n_repeat_words": covered,
-            "n_marks": F.length(F.regexp_replace("_j", r"[^!]+", "")).cast("long"),
-            "n_lines": F.size("_l").cast("long"),
-        }
-    )
-    return out.drop("_t", "_w", "_l", "_j", "_n", "_g", "_s", "_p")
+    found = {
+        "n_words": F.col("_n").cast("long"),
+        "word_chars": F.length("_j").cast("long"),
+        "n_symbols": F.length(F.regexp_replace("_j", r"[^#*$%&|<>]+", "")).cast("long"),
+        "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
+        "n_repeat_words": covered,
+        "n_marks": F.length(F.regexp_replace("_j", r"[^!]+", "")).cast("long"),
+        "n_lines": F.size("_l").cast("long"),
+    }
+    # a generator of one row: filters on the measures stay above it, where each is computed once
+    return step.select(*docs.columns, F.inline(F.array(F.struct(*(c.alias(k) for k, c in found.items())))))
 
 
 def base_failed(rules: QualityRules) -> Column:
@@ -144,19 +143,15 @@ def fences(features: DataFrame, rules: QualityRules) -> DataFrame:
     )
 
 
-def judged(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "text", keep_text: bool = True) -> DataFrame:
-    """docs (of which `text`, lang and source are read) with features, base_failed and kept.
+_ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_marks", "n_lines", "base_failed", "kept", "_t", "_w", "_l", "_j", "_n", "_g", "_s", "_p")
 
-    Nulls in lang or source form groups of their own, repeated rows are judged alike, an empty
-    table gives an empty result, and columns of `docs` with the names of features are replaced.
-    The measured table is written once, for the sketches and the filter both."""
-    added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_marks", "n_lines", "base_failed", "kept", "_t", "_w", "_l", "_j", "_n", "_g", "_s", "_p")
-    measured = with_features(docs.drop(*added), text)
-    measured = saved(measured if keep_text else measured.drop(text), "zquality")
-    limits = fences(measured.select("lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_marks", "n_lines"), rules).alias("t")
-    d = measured.alias("d")
-    # left to Spark's own size check: broadcast while the fences are small, a skew-split sort-merge join beyond
-    joined = d.join(limits, F.col("d.lang").eqNullSafe(F.col("t.lang")) & F.col("d.source").eqNullSafe(F.col("t.source")), "left")
+
+def _verdict(measured: DataFrame, limits: DataFrame, rules: QualityRules) -> DataFrame:
+    """measured with base_failed and kept, by the fences of its language and source.
+
+    The join is left to Spark's own size check: fences are broadcast while small, a skew-split sort-merge join beyond."""
+    d, t = measured.alias("d"), limits.alias("t")
+    joined = d.join(t, F.col("d.lang").eqNullSafe(F.col("t.lang")) & F.col("d.source").eqNullSafe(F.col("t.source")), "left")
     within = F.lit(True)
     for m, value in metrics().items():
         within = within & ((value <= F.col(f"t.fence_{m}")) | F.col(f"t.fence_{m}").isNull())
@@ -164,7 +159,20 @@ def judged(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "t
     return joined.select("d.*", failed.alias("base_failed"), (~failed & within).alias("kept"))
 
 
+def judged(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "text") -> DataFrame:
+    """docs without `text` (of which `text`, lang and source are read) with features, base_failed and kept.
+
+    Nulls in lang or source form groups of their own, repeated rows are judged alike, an empty
+    table gives an empty result, and columns of `docs` with the names of features are replaced.
+    The measures are written once, for the sketches and the filter both."""
+    measured = saved(with_features(docs.drop(*_ADDED), text).drop(text), "zquality")
+    return _verdict(measured, fences(measured, rules), rules)
+
+
 def quality_filter(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """The kept documents with their columns, whatever their names."""
+    """The kept documents with their columns, whatever their names.
+
+    Texts are measured once for the fences and again for the verdict, so that none is written or shuffled."""
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "lang", "source", "text")
-    return judged(whole, rules, keep_text=False).where("kept").select("_row.*")
+    limits = saved(fences(with_features(whole.drop("_row")).drop("text"), rules), "zfences")
+    return _verdict(with_features(whole).drop("text"), limits, rules).where("kept").select("_row.*")

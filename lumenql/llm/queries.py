@@ -20,7 +20,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.judged(documents(spark, sf_dir, "doc_id", "lang", "source", "text"), keep_text=False)
+    found = quality.judged(documents(spark, sf_dir, "doc_id", "lang", "source", "text"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -55,7 +55,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mixing.mixed(documents(spark, sf_dir, "doc_id", "source", "text"), mixing.size_of(), mixing.quality_of(), keep_text=False)
+    found = mixing.mixed(documents(spark, sf_dir, "doc_id", "source", "text"), mixing.size_of(), mixing.quality_of())
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
