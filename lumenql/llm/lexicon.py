@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lumenql.llm import kernel as K
 from lumenql.llm.pieces import PieceTable, word_pieces
-from lumenql.llm.shared import ship
+from lumenql.llm.shared import saved, ship
 
 #: Fixed values of the tokenizer file: its word pattern.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -291,9 +291,22 @@ def _count(rule: Lexicon):
 
 
 def frequent_words(docs: DataFrame, rule: Lexicon = Lexicon()) -> list[str]:
-    """The rule.words most frequent words of all texts, ties by code point."""
-    counts = docs.select("text").mapInArrow(_count(rule), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counts.orderBy(F.col("n").desc(), "word").limit(rule.words).collect()]
+    """Of all texts' words the most frequent ones, rule.words at most.
+
+    A histogram of the counts (six leading bits a bin) gives the least count that leaves so many, and only those come to
+    the driver."""
+    counts = saved(docs.select("text").mapInArrow(_count(rule), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "zwords")
+    shift = "greatest(length(bin(n)) - 6, 0)"
+    bins = counts.groupBy(F.expr(f"shiftleft(shiftright(n, {shift}), {shift})").alias("low")).agg(F.count("*").alias("words")).collect()
+    least, total = None, 0
+    for b in sorted(bins, key=lambda r: -r.low):
+        total += b.words
+        if total > rule.words:
+            break
+        least = b.low
+    if least is None:
+        return [r.word for r in counts.orderBy(F.col("n").desc(), "word").limit(rule.words).collect()] if bins else []
+    return sorted(r.word for r in counts.where(F.col("n") >= least).select("word").collect())
 
 
 def _encode(path: str, shared, rule: Lexicon, with_ids: bool):
