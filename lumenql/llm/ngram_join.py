@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lumenql.llm import kernel as K
 from lumenql.llm.components import components
-from lumenql.llm.shared import bounded_buckets, dealt, saved, ship, text_bytes, unpack_all
+from lumenql.llm.shared import bounded_buckets, dealt, dropped_since, mark, saved, ship, text_bytes, unpack_all
 
 CELLS = 1 << 18
 _SLICES = 16
@@ -38,20 +38,22 @@ _BITS = [f"s{i}" for i in range(_SKETCH)]
 
 @dataclass(frozen=True)
 class JaccardJoin:
-    """Words in an n-gram, threshold in percent, fragments of the order, and text bytes behind one bucket."""
+    """Words in an n-gram, threshold in percent, n-grams of the prefixes that a pair must share, fragments of the order, and
+    text bytes behind one bucket."""
 
     size: int = 5
     percent: int = 75
+    shared: int = 4
     fragments: int = 8
     bucket_bytes: int = 24 << 20
 
     def prefix(self, n: int) -> int:
-        """N-grams of a set of n that may be the first shared one with a set of any size."""
-        return n - -(-self.percent * n // 100) + 1
+        """N-grams of a set of n among which are `shared` that a set of any size has too, if both link."""
+        return n - -(-self.percent * n // 100) + self.shared
 
     def index_prefix(self, n: int) -> int:
         """The same with sets that are at least as large."""
-        return n - -(-2 * self.percent * n // (100 + self.percent)) + 1
+        return n - -(-2 * self.percent * n // (100 + self.percent)) + self.shared
 
 
 def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -60,7 +62,7 @@ def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray]]:
     hashes, _, _, first = K.words(data, ends, lower=True)
     grams, begin = K.shingles(hashes, first, size)
     for row in range(batch.num_rows):
-        yield row, np.unique(grams[begin[row] : begin[row + 1]])
+        yield row, K.distinct(grams[begin[row] : begin[row + 1]])
 
 
 _MEASURED = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), ("sig", pa.int64()), *((b, pa.int64()) for b in _BITS), ("counts", pa.binary())])
@@ -148,7 +150,7 @@ def _prefixes(join: JaccardJoin, buckets: int, shared) -> object:
 
 
 def _candidate_groups(table: pa.Table) -> pa.Table:
-    """Groups of documents that share a prefix n-gram, each once: (gid, doc, lead)."""
+    """Groups of documents that share prefix n-grams, each once: (gid, doc, lead, weight), weight being how many n-grams."""
     (grams, docs, sizes), _ = unpack_all(table.column("rows"), "u4", "i8", "i4")
     order, begin = K.grouped(grams)
     many = np.diff(begin)
@@ -158,17 +160,18 @@ def _candidate_groups(table: pa.Table) -> pa.Table:
     take = busy[of]
     docs, of = docs[take], of[take]
     if not len(docs):
-        return pa.table({"gid": pa.array([], pa.int64()), "doc": pa.array([], pa.int64()), "lead": pa.array([], pa.int64())})
+        return pa.table({"gid": pa.array([], pa.int64()), "doc": pa.array([], pa.int64()), "lead": pa.array([], pa.int64()), "weight": pa.array([], pa.int64())})
     begin = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
     name = K.mix(np.add.reduceat(K.mix(docs.view(np.uint64) ^ np.uint64(0x2545F4914F6CDD1D)), begin))
     lead = np.minimum.reduceat(docs, begin)
     most = np.maximum.reduceat(docs, begin)
-    _, once = np.unique(name, return_index=True)
-    once = once[lead[once] != most[once]]
+    _, once, weight = np.unique(name, return_index=True, return_counts=True)
+    real = lead[once] != most[once]
+    once, weight = once[real], weight[real]
     ends = np.append(begin[1:], len(docs))
     length = (ends - begin)[once]
     at = np.repeat(begin[once], length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-    return pa.table({"gid": np.repeat(name[once].view(np.int64), length), "doc": docs[at], "lead": np.repeat(lead[once], length)})
+    return pa.table({"gid": np.repeat(name[once].view(np.int64), length), "doc": docs[at], "lead": np.repeat(lead[once], length), "weight": np.repeat(weight, length)})
 
 
 def _fragments(join: JaccardJoin, shared) -> object:
@@ -191,12 +194,18 @@ def _fragments(join: JaccardJoin, shared) -> object:
     return run
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            both = zip(batch.column("x"), batch.column("y"), strict=True)
-            counts = [_common(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in both]
-            yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(counts, pa.int64())], names=["a", "b", "common"])
+def _overlaps(table: pa.Table) -> pa.Table:
+    """Partial overlaps in one fragment of the pairs (a, doc) of a bucket; the row with doc = a has the set of a."""
+    own: dict[int, np.ndarray] = {}
+    others: dict[tuple[int, int], np.ndarray] = {}
+    for a, doc, blob in zip(table.column("a").to_pylist(), table.column("doc").to_pylist(), table.column("grams"), strict=True):
+        s = np.frombuffer(blob.as_buffer(), np.uint64)
+        if a == doc:
+            own[a] = s if a not in own or len(s) > len(own[a]) else own[a]
+        elif (a, doc) not in others or len(s) > len(others[a, doc]):
+            others[a, doc] = s
+    found = [(a, b, _common(own[a], s)) for (a, b), s in others.items() if a in own]
+    return pa.table([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], names=["a", "b", "common"])
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -222,6 +231,7 @@ def jaccard_components(docs: DataFrame, join: JaccardJoin = JaccardJoin()) -> Da
     Other columns aren't read."""
     spark = docs.sparkSession
     ship(spark)
+    since = mark()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = docs.where("doc_id is not null")
     measured = saved(docs.mapInArrow(_measure(join.size), _MEASURED_DDL), "zmeasured")
@@ -236,14 +246,16 @@ def jaccard_components(docs: DataFrame, join: JaccardJoin = JaccardJoin()) -> Da
 
     buckets = bounded_buckets(text_bytes(known), join.bucket_bytes)
     packed = known.mapInArrow(_prefixes(join, buckets, shared), "bucket int, rows binary")
-    groups = packed.groupBy("bucket").applyInArrow(_candidate_groups, "gid long, doc long, lead long")
+    groups = packed.groupBy("bucket").applyInArrow(_candidate_groups, "gid long, doc long, lead long, weight long")
     # documents become classes
     groups = groups.join(of.select(F.col("doc_id").alias("doc"), F.col("rep").alias("x")), "doc").join(of.select(F.col("doc_id").alias("lead"), F.col("rep").alias("y")), "lead")
-    groups = saved(groups.select("gid", "x", "y").distinct(), "zgroups")
+    groups = saved(groups.groupBy("gid", "x", "y").agg(F.sum("weight").alias("weight")), "zgroups")
+    # of two sets that link, this many prefix n-grams are the same, or the whole overlap if that is less
+    enough = lambda n_both: F.col("weight") >= F.least(F.lit(join.shared), F.ceil(F.lit(join.percent) * n_both / F.lit(100 + join.percent)))
 
     def plausible(pairs: DataFrame) -> DataFrame:
         p = pairs.alias("p").join(reps.alias("ra"), F.col("p.a") == F.col("ra.rep")).join(reps.alias("rb"), F.col("p.b") == F.col("rb.rep"))
-        return p.where(_may_link(join.percent, "ra", "rb")).select("p.a", "p.b", (F.col("ra.n") + F.col("rb.n")).cast("long").alias("n_both"))
+        return p.where(_may_link(join.percent, "ra", "rb")).where(enough(F.col("ra.n") + F.col("rb.n"))).select("p.a", "p.b", (F.col("ra.n") + F.col("rb.n")).cast("long").alias("n_both"))
 
     fragments: list[DataFrame] = []
 
@@ -255,35 +267,42 @@ def jaccard_components(docs: DataFrame, join: JaccardJoin = JaccardJoin()) -> Da
         wanted = saved(wanted, "zwanted")
         if not wanted.isEmpty():
             sized = known.join(wanted, "doc_id", "left_semi").mapInArrow(_fragments(join, shared), "doc long, part int, grams binary")
-            # rows that repeat a doc_id: the largest fragment stands for them all
-            fragments.append(saved(sized.groupBy("doc", "part").agg(F.max_by("grams", F.length("grams")).alias("grams")), "fragments"))
+            fragments.append(saved(sized, "fragments"))
         if not fragments:
             return pairs.select("a", "b").limit(0)
         cut = fragments[0]
         for more in fragments[1:]:
             cut = cut.unionByName(more)
-        x = pairs.join(cut.select(F.col("doc").alias("a"), "part", F.col("grams").alias("x")), "a")
-        both = x.join(cut.select(F.col("doc").alias("b"), "part", F.col("grams").alias("y")), ["b", "part"]).select("a", "b", "x", "y")
-        counts = both.mapInArrow(_overlaps, "a long, b long, common long").groupBy("a", "b").agg(F.sum("common").alias("common"))
+        # about 2000 pairs a bucket; a leader of many pairs is in several
+        buckets = 1 + pairs.count() // 2000
+        many = pairs.groupBy("a").agg((1 + F.floor(F.count("*") / 1000)).cast("long").alias("salts"))
+        dealt_out = pairs.join(many, "a").withColumn("bucket", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), "salts")), F.lit(buckets)))
+        members = dealt_out.select("bucket", "a", F.col("b").alias("doc")).unionByName(dealt_out.select("bucket", "a", F.col("a").alias("doc")).distinct())
+        counts = members.join(cut, "doc").groupBy("bucket", "part").applyInArrow(_overlaps, "a long, b long, common long").groupBy("a", "b").agg(F.sum("common").alias("common"))
         full = counts.join(pairs, ["a", "b"])
         return full.where(f"{100 + join.percent} * common >= {join.percent} * n_both").select("a", "b")
 
-    star = groups.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    star = groups.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "weight").groupBy("a", "b").agg(F.sum("weight").alias("weight"))
     first = saved(plausible(star), "zpairs")
     links = saved(verified(first), "zlinks")
     label = saved(components(links), "zcomponents")
-    named = groups.join(label, F.col("x") == F.col("node"), "left").select("gid", "x", F.coalesce("component", "x").alias("c"))
-    split = named.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo <> hi and m > 2").select("gid")
-    open_ = saved(named.join(split, "gid", "left_semi").join(reps, F.col("x") == F.col("rep")).select("gid", "x", "c", "n", *_BITS), "zopen")
+    named = groups.join(label, F.col("x") == F.col("node"), "left").select("gid", "x", "weight", F.coalesce("component", "x").alias("c"))
+    split = named.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("gid")
+    open_ = saved(named.join(split, "gid", "left_semi").join(reps, F.col("x") == F.col("rep")).select("gid", "x", "c", "weight", "n", *_BITS), "zopen")
     l, r = open_.alias("l"), open_.alias("r")
     across = l.join(r, (F.col("l.gid") == F.col("r.gid")) & (F.col("l.x") < F.col("r.x")) & (F.col("l.c") != F.col("r.c")) & _may_link(join.percent, "l", "r"))
-    across = across.select(F.col("l.x").alias("a"), F.col("r.x").alias("b"), (F.col("l.n") + F.col("r.n")).cast("long").alias("n_both")).distinct()
+    across = across.groupBy(F.col("l.x").alias("a"), F.col("r.x").alias("b"), (F.col("l.n") + F.col("r.n")).cast("long").alias("n_both")).agg(F.sum("l.weight").alias("weight"))
+    across = across.where(enough(F.col("n_both"))).drop("weight")
     second = saved(across.join(first, ["a", "b"], "left_anti"), "zpairs")
     more = saved(verified(second), "zlinks")
 
     by_class = components(links.unionByName(more))
     final = classed.select("doc_id", "rep").join(by_class, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
-    return sets.groupBy("doc_id").agg(F.max("n").cast("long").alias("n_shingles")).join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    sizes = sets.groupBy("doc_id").agg(F.max("n").cast("long").alias("n_shingles"))
+    result = sizes.join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    result = saved(result, "zjoined")
+    dropped_since(since, result)
+    return result
 
 
 def keep_one(docs: DataFrame, join: JaccardJoin = JaccardJoin()) -> DataFrame:

@@ -47,8 +47,15 @@ def saved(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     """Writes `df` as Parquet to the shared folder and reads it again: short lineage, and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lumenql-{name}-{uuid.uuid4().hex}"
+    # what this write shuffled goes when it is done, so that disks hold one step of an operator at a time
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup)
     writer = df.write.option("compression", "zstd" if name.startswith("z") else "lz4")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    spark.conf.set(cleanup, "true")
+    try:
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
     if not _written:
         atexit.register(_sweep)
     _written.append((spark, path))
@@ -63,10 +70,20 @@ def _remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def dropped(df: DataFrame) -> None:
-    """Deletes a table of saved() that nothing reads any more."""
-    if path := getattr(df, "_lumenql_path", None):
-        _remove(df.sparkSession, path)
+
+
+def mark() -> int:
+    """How many tables saved() has written so far."""
+    return len(_written)
+
+
+def dropped_since(since: int, but: DataFrame) -> None:
+    """Deletes the tables written after mark(), all but one."""
+    keep = getattr(but, "_lumenql_path", None)
+    for spark, path in _written[since:]:
+        if path != keep:
+            _remove(spark, path)
+    _written[since:] = [x for x in _written[since:] if x[1] == keep]
 
 
 def _sweep() -> None:
