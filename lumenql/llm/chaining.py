@@ -140,26 +140,33 @@ def _first_places(table: pa.Table) -> pa.Table:
 def best_chains(x: np.ndarray, y: np.ndarray, length: np.ndarray, rule: Chaining) -> list[list[int]]:
     """Chains of anchors (x, y, length), sorted by x: indices in order, best chain first, each anchor in one chain at most.
 
-    score(i) = length(i) + max(0, max over j before i in x and y of score(j) - gap_cost * (gap in x + gap in y));
-    the inner maximum is a prefix maximum over ranks of y of score(j) + gap_cost * (end of j in x and y)."""
+    score(i) = length(i) + max(0, max over j before i in x and y, within max_gap in both, of score(j) - gap_cost * (gap in x + gap in y));
+    without max_gap the inner maximum is a prefix maximum over ranks of y of score(j) + gap_cost * (end of j in x and y).
+    If that one is out of reach, those whose end in x is in reach are compared: as a place has one match, they are
+    about max_gap at most."""
     n, cost = len(x), rule.gap_cost
     xs, ys, ls = x.tolist(), y.tolist(), length.tolist()
     rank = (np.searchsorted(np.unique(y), y) + 1).tolist()
     tree = [(-1e18, -1)] * (n + 1)
-    score, back = [0.0] * n, [-1] * n
+    score, total, back = [0.0] * n, [0.0] * n, [-1] * n
+    near: list[int] = []
     for i in range(n):
         best, at = (-1e18, -1), rank[i] - 1
         while at > 0:
             if tree[at] > best:
                 best = tree[at]
             at -= at & -at
+        to_x, to_y = xs[i] - rule.max_gap, ys[i] - rule.max_gap
+        if best[0] > cost * (xs[i] + ys[i]) and (xs[best[1]] + ls[best[1]] < to_x or ys[best[1]] + ls[best[1]] < to_y):
+            near = [j for j in near if xs[j] + ls[j] >= to_x]
+            best = max(((total[j], j) for j in near if ys[j] < ys[i] and ys[j] + ls[j] >= to_y), default=(-1e18, -1))
         gain = best[0] - cost * (xs[i] + ys[i])
         score[i] = ls[i] + max(0.0, gain)
-        if gain > 0 and xs[i] - xs[best[1]] - ls[best[1]] <= rule.max_gap and ys[i] - ys[best[1]] - ls[best[1]] <= rule.max_gap:
+        if gain > 0:
             back[i] = best[1]
-        else:
-            score[i] = float(ls[i])
-        entry, at = (score[i] + cost * (xs[i] + ys[i] + 2 * ls[i]), i), rank[i]
+        near.append(i)
+        total[i] = score[i] + cost * (xs[i] + ys[i] + 2 * ls[i])
+        entry, at = (total[i], i), rank[i]
         while at <= n:
             if entry > tree[at]:
                 tree[at] = entry

@@ -158,6 +158,40 @@ def test_chains_by_fenwick_equal_quadratic():
         assert value == pytest.approx(max(score))
 
 
+def test_chains_keep_to_the_longest_gap():
+    rng = random.Random(14)
+    rule = chaining.Chaining()
+    cases = [([0, 360, 373, 386], [0, 360, 373, 386], [300, 11, 11, 11])]
+    for _ in range(60):
+        n = rng.randint(2, 40)
+        x = sorted(rng.sample(range(400), n))
+        cases.append((x, [max(0, v + rng.choice((0, 0, 0, -60, 45, rng.randint(-300, 300)))) for v in x], [rng.choice((3, 9, 90)) for _ in x]))
+    for x, y, length in cases:
+        score = []
+        for i in range(len(x)):
+            gaps = [(x[i] - x[j] - length[j], y[i] - y[j] - length[j], j) for j in range(i) if y[j] < y[i]]
+            score.append(length[i] + max([0.0, *(score[j] - rule.gap_cost * (a + b) for a, b, j in gaps if max(a, b) <= rule.max_gap)]))
+        chain = chaining.best_chains(np.array(x), np.array(y), np.array(length), rule)[0]
+        value = 0.0
+        for k, i in enumerate(chain):
+            j = chain[k - 1]
+            value += length[i] - (rule.gap_cost * (x[i] - x[j] - length[j] + y[i] - y[j] - length[j]) if k else 0)
+            assert not k or max(x[i] - x[j] - length[j], y[i] - y[j] - length[j]) <= rule.max_gap
+        assert value == pytest.approx(max(score))
+    chains = chaining.best_chains(*(np.array(v) for v in cases[0]), rule)
+    assert sorted(chains) == [[0], [1, 2, 3]]
+
+
+def test_second_passage_after_a_long_one_is_found(spark):
+    rng = random.Random(15)
+    fresh = lambda n: [f"f{rng.random()}" for _ in range(n)]
+    first, second = fresh(300), fresh(80)
+    changed = [w if i % 13 else f"q{i}" for i, w in enumerate(second)]
+    rows = [(1, " ".join(first + fresh(60) + second), "en", "s"), (2, " ".join(first + fresh(60) + changed), "en", "s")]
+    found = sorted((r.start_word, r.end_word) for r in chaining.passages(frame(spark, rows)).collect())
+    assert len(found) == 2 and found[0] == (0, 300) and found[1][0] <= 362 and found[1][1] >= 430
+
+
 def test_common_words():
     rng = random.Random(6)
     for _ in range(50):
