@@ -4,7 +4,8 @@
    words - with the first document and word they occur at.
 2. A bucket of seeds finds the first document of all that has a seed and answers the blocks.  Each
    place thus matches one earlier document at most: a passage that a third of all documents share costs
-   one match for each place, never pairs.
+   one match for each place, never pairs.  A k-mer's second, third, ... occurrence in a text is a seed of its
+   own; if no earlier document has it as often, it matches the k-mer's first place.
 3. A block groups a document's matches by earlier document, merges those on a diagonal into anchors
    and chains anchors that are ordered in both texts; the best predecessor under a linear gap cost
    is a prefix maximum, kept in a Fenwick tree.
@@ -67,9 +68,10 @@ class _Words:
             for o in range(w):
                 chosen[o : o + len(least)] |= (grams[o : o + len(least)] == least) & whole
             at = np.flatnonzero(chosen)
-            self.seed, self.row = _numbered(grams[at], row[at]), row[at]
+            self.plain, self.row = grams[at], row[at]
+            self.seed = _numbered(self.plain, self.row)
         else:
-            at, self.seed, self.row = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            at, self.plain, self.seed, self.row = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.place = (at - self.first[self.row]).astype(np.int32)
         self.doc = self.docs[self.row]
 
@@ -203,6 +205,9 @@ def _chains(rule: Chaining, buckets: int):
             known, source, at = known[order], source[order], at[order]
             for w in _read(texts, rule):
                 i = np.searchsorted(known, _key(w.seed, buckets))
+                # an occurrence that no earlier document has as often matches the first place of the k-mer
+                alone = np.flatnonzero((w.seed != w.plain) & (source[i] >= w.doc))
+                i[alone] = np.searchsorted(known, _key(w.plain[alone], buckets))
                 out += _of_texts(w, source[i], at[i], rule, margin)
         columns = list(zip(*out, strict=True)) if out else [[]] * 5
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())

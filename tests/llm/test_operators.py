@@ -192,6 +192,21 @@ def test_second_passage_after_a_long_one_is_found(spark):
     assert len(found) == 2 and found[0] == (0, 300) and found[1][0] <= 362 and found[1][1] >= 430
 
 
+def test_passage_that_a_later_document_repeats_is_found_each_time(spark):
+    rng = random.Random(16)
+    fresh = lambda n: [f"f{rng.random()}" for _ in range(n)]
+    passage, between = fresh(60), fresh(70)
+    rows = [(1, " ".join(fresh(20) + passage), "en", "s"), (2, " ".join(passage + between + passage + passage), "en", "s")]
+    rows.append((3, " ".join(passage * 2), "en", "s"))
+    small = chaining.Chaining(block_bytes=500, bucket_bytes=500)
+    for rule in (chaining.Chaining(), small):
+        found = sorted((r.doc_id, r.source_id, r.start_word, r.end_word) for r in chaining.passages(frame(spark, rows), rule).collect())
+        assert [f for f in found if f[0] == 2] == [(2, 1, 0, 60), (2, 1, 130, 190), (2, 1, 190, 250)]
+        assert {w for d, _, a, b in found for w in range(a, b) if d == 3} == set(range(120))
+    left = {r.doc_id: r.text.split() for r in chaining.cut_passages(frame(spark, rows)).collect()}
+    assert left[2] == between and 3 not in left
+
+
 def test_common_words():
     rng = random.Random(6)
     for _ in range(50):
