@@ -1,7 +1,7 @@
 """Fuzzy repeated passages by collinear chaining.
 
-1. Texts are dealt into blocks.  A block sends its distinct seeds - winnowed k-mers of lower-cased
-   words - with the first document and word they occur at.
+1. Texts are dealt into blocks.  A block sends its distinct seeds - all k-mers of lower-cased words, or
+   winnowed ones - with the first document and word they occur at.
 2. A bucket of seeds finds the first document of all that has a seed and answers the blocks.  Each
    place thus matches one earlier document at most: a passage that a third of all documents share costs
    one match for each place, never pairs.  A k-mer's second, third, ... occurrence in a text is a seed of its
@@ -9,14 +9,17 @@
 3. A block groups a document's matches by earlier document, merges those on a diagonal into anchors
    and chains anchors that are ordered in both texts; the best predecessor under a linear gap cost
    is a prefix maximum, kept in a Fenwick tree.
-4. Chains travel with their words to the block of the earlier document, where gaps between anchors
-   are aligned by a bit-parallel longest common subsequence and ends are extended word by word.
+4. Chains of more than a chance seed (size + 2 words) travel with their words to the block of the earlier document, where
+   gaps between anchors are aligned by a bit-parallel longest common subsequence and ends are extended
+   over the margin by the alignment of the best score.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -24,17 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenql.llm import kernel as K
-from lumenql.llm.shared import bounded_buckets, dealt, saved, ship, text_bytes, unpack_all
+from lumenql.llm.shared import bounded_buckets, saved, ship, text_bytes
 
 
 @dataclass(frozen=True)
 class Chaining:
-    """Words of a seed and seeds of a winnowing window (a common run of size + window - 1 words has a seed),
+    """Words of a seed and seeds of a winnowing window (a common run of size + window - 1 words has a seed; 1 takes all),
     cost of a gap word, longest gap, what makes a passage: words and similarity, and words that travel with each end of a
     chain so that its alignment can be extended."""
 
     size: int = 5
-    window: int = 6
+    window: int = 1
     gap_cost: float = 0.2
     max_gap: int = 40
     min_words: int = 40
@@ -102,9 +105,34 @@ def _key(seed: np.ndarray, buckets: int) -> np.ndarray:
 
 def _firsts(key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Places of the smallest (doc, place) of each key, in order of key."""
-    order = np.lexsort((place, doc, key))
+    turn = np.lexsort((place, doc))
+    if not len(turn):
+        return turn
+    rank = np.empty(len(turn), np.int64)
+    rank[turn] = np.arange(len(turn))
+    order = np.argsort(key)
     s = key[order]
-    return order[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else order
+    return turn[np.minimum.reduceat(rank[order], np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])))]
+
+
+def _packed(short: np.ndarray, doc: np.ndarray, place: np.ndarray) -> bytes:
+    """Seeds in order of their places: steps between documents, and bytes of one weight side by side, compress well."""
+    order = np.lexsort((place, doc))
+    step = np.diff(doc[order], prepend=doc.dtype.type(0))
+    planes = (x.view(np.uint8).reshape(len(order), -1).T.tobytes() for x in (step.astype("<i8"), place[order].astype("<i4")))
+    return len(order).to_bytes(4, "little") + pa.compress(short[order].astype("<u4").tobytes() + b"".join(planes), "zstd", asbytes=True)
+
+
+def _unpacked(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(short, doc, place, row) of the packed seeds of all rows."""
+    parts = [(np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64))]
+    for r, x in enumerate(column):
+        blob = x.as_py()
+        n = int.from_bytes(blob[:4], "little")
+        raw = np.frombuffer(pa.decompress(blob[4:], 16 * n, "zstd", asbytes=True), np.uint8)
+        plane = lambda a, b: np.ascontiguousarray(raw[a * n : b * n].reshape(-1, n).T)  # noqa: B023, E731
+        parts.append((raw[: 4 * n].view("<u4"), np.cumsum(plane(4, 12).view("<i8").ravel()), plane(12, 16).view("<i4").ravel(), np.full(n, r)))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))  # type: ignore[return-value]
 
 
 def _seeds(rule: Chaining, buckets: int):
@@ -114,7 +142,8 @@ def _seeds(rule: Chaining, buckets: int):
         once = _firsts(_key(seed, buckets), doc, place)
         seed, doc, place = seed[once], doc[once], place[once]
         short = (seed // np.uint64(buckets)).astype(np.uint32)
-        parts = list(dealt(seed, buckets, short, doc, place))
+        order, cut = K.grouped((seed % np.uint64(buckets)).astype(np.int32))
+        parts = [(int(seed[i[0]] % np.uint64(buckets)), _packed(short[i], doc[i], place[i])) for i in (order[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True))]
         block = table.column("block")[0].as_py()
         return pa.table({"bucket": pa.array([b for b, _ in parts], pa.int32()), "block": pa.array([block] * len(parts), pa.int64()), "rows": pa.array([x for _, x in parts], pa.binary())})
 
@@ -123,8 +152,8 @@ def _seeds(rule: Chaining, buckets: int):
 
 def _first_places(table: pa.Table) -> pa.Table:
     """For each block its seeds that an earlier document of another block has, with the first place of all."""
-    (short, doc, place), row = unpack_all(table.column("rows"), "u4", "i8", "i4")
-    bucket = np.uint64(table.column("bucket")[0].as_py())
+    short, doc, place, row = _unpacked(table.column("rows"))
+    bucket = table.column("bucket")[0].as_py()
     blocks = table.column("block").to_numpy()
     once = _firsts(short, doc, place)
     of = once[np.searchsorted(short[once], short)]
@@ -134,9 +163,8 @@ def _first_places(table: pa.Table) -> pa.Table:
     out = []
     for a, b in zip(cut[:-1], cut[1:], strict=True):
         i = later[a:b]
-        key = (bucket << np.uint64(32)) | short[i].astype(np.uint64)
-        out.append((int(blocks[row[i[0]]]), b"".join(x.tobytes() for x in (key, doc[of[i]], place[of[i]]))))
-    return pa.table({"block": pa.array([o[0] for o in out], pa.int64()), "rows": pa.array([o[1] for o in out], pa.binary())})
+        out.append((int(blocks[row[i[0]]]), _packed(short[i], doc[of[i]], place[of[i]])))
+    return pa.table({"block": pa.array([o[0] for o in out], pa.int64()), "bucket": pa.array([bucket] * len(out), pa.int32()), "rows": pa.array([o[1] for o in out], pa.binary())})
 
 
 def best_chains(x: np.ndarray, y: np.ndarray, length: np.ndarray, rule: Chaining) -> list[list[int]]:
@@ -192,7 +220,8 @@ def _chains(rule: Chaining, buckets: int):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if texts.num_rows:
-            (known, source, at), _ = unpack_all(answers.column("rows"), "u8", "i8", "i4")
+            short, source, at, row = _unpacked(answers.column("rows"))
+            known = (answers.column("bucket").to_numpy().astype(np.uint64)[row] << np.uint64(32)) | short
             order = np.argsort(known)
             known, source, at = known[order], source[order], at[order]
             own = [(_key(w.seed, buckets), w.doc, w.place) for w in _read(texts, rule)]
@@ -231,17 +260,14 @@ def _of_texts(w: _Words, source: np.ndarray, at: np.ndarray, rule: Chaining, mar
     order = np.lexsort((ay, ax, asrc, ar))
     ax, ay, al, ar, asrc = (v[order] for v in (ax, ay, al, ar, asrc))
     pair = np.flatnonzero(np.concatenate([[True], (ar[1:] != ar[:-1]) | (asrc[1:] != asrc[:-1])]))
-    total = np.add.reduceat(al, pair)
     out = []
-    for p, e, words in zip(pair, np.append(pair[1:], len(ax)), total, strict=True):
-        if words < rule.min_words // 4:
-            continue
+    for p, e in zip(pair, np.append(pair[1:], len(ax)), strict=True):
         sx, sy, sl = ax[p:e], ay[p:e], al[p:e]
         r = ar[p]
         n = w.first[r + 1] - w.first[r]
         for chain in best_chains(sx, sy, sl, rule) if e - p > 1 else [[0]]:
             a, b = int(sx[chain[0]]), int(sx[chain[-1]] + sl[chain[-1]])
-            if b - a < rule.min_words // 4:
+            if b - a < rule.size + 2:
                 continue
             base, end = max(0, a - margin), min(int(n), b + margin)
             text = w.words[w.first[r] + base : w.first[r] + end]
@@ -265,27 +291,76 @@ def common_words(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
-def align(a: list[int], b: list[int], anchors: list[tuple[int, int, int]]) -> tuple[int, int, int, int, int] | None:
-    """(from, to in a, from, to in b, common words) of the chain's alignment; None if an anchor's words differ."""
-    x, y, n = anchors[0]
-    if a[x : x + n] != b[y : y + n]:
+#: What an edit takes from the score of an end, where a common word gives 1: ends that are 2/3, 3/4 or 1/2 alike go on.
+_USUAL, _WIDE = (2, 3), (1,)
+
+
+def extended(a: list[int], b: list[int], edits: tuple[int, ...]) -> list[tuple[int, int]]:
+    """For each cost of an edit, words of a and b in the longest pair of beginnings with the best score.
+
+    far[k] is the last place in a that e edits reach on the diagonal k; an added or missing word costs half a word
+    more than a changed one, so the score follows from place and edits.  It ends when no words in common are
+    left that could pay for another edit."""
+    limit = (Counter(a) & Counter(b)).total()
+    i, na, nb = 0, len(a), len(b)
+    while i < na and i < nb and a[i] == b[i]:
+        i += 1
+    far, e = {0: i}, 0
+    best = [(float(i), i, i) for _ in edits]
+    while far:
+        e += 1
+        if all(limit - c * e < s[0] for c, s in zip(edits, best, strict=True)):
+            break
+        new = {}
+        for k in range(-e, e + 1):
+            i = max(far.get(k, -2) + 1, far.get(k - 1, -2) + 1, far.get(k + 1, -1))
+            j = i - k
+            if i < 0 or j < 0 or i > na or j > nb:
+                continue
+            while i < na and j < nb and a[i] == b[j]:
+                i, j = i + 1, j + 1
+            new[k] = i
+            if i and j and a[i - 1] == b[j - 1]:
+                for o, c in enumerate(edits):
+                    best[o] = max(best[o], ((i + j) / 2 - (c + 1) * e, i, j))
+        far = new
+    return [(i, j) for _, i, j in best]
+
+
+def _ends(a: list[int], b: list[int], edits: tuple[int, ...]) -> list[tuple[int, int, int]]:
+    """(words of a, words of b, common words) of the ways to extend an end; the last ends at the first unequal word."""
+    same = 0
+    while same < len(a) and same < len(b) and a[same] == b[same]:
+        same += 1
+    # more words of b cost more than all of a brings
+    ways = dict.fromkeys([*extended(a, b[: 2 * len(a)], edits), (same, same)])
+    return [(i, j, common_words(a[:i], b[:j])) for i, j in ways]
+
+
+def align(a: list[int], b: list[int], anchors: list[tuple[int, int, int]], rule: Chaining) -> tuple[int, int, int, int, int] | None:
+    """(from, to in a, from, to in b, common words) of the chain's alignment with most common words that is similar and long enough; None without one.
+
+    A passage begins and ends with words in common.  Ends of little likeness are taken only if it is too short else."""
+    anchors = [(x, y, n) for x, y, n in anchors if a[x : x + n] == b[y : y + n]]
+    if not anchors:
         return None
+    x, y, n = anchors[0]
     left, common, (i, j) = (x, y), n, (x + n, y + n)
     for x, y, n in anchors[1:]:
         skip = max(0, i - x, j - y)
         if skip >= n:
             continue
         x, y, n = x + skip, y + skip, n - skip
-        if a[x : x + n] != b[y : y + n]:
-            return None
         common += common_words(a[i:x], b[j:y]) + n
         i, j = x + n, y + n
     x, y = left
-    while x > 0 and y > 0 and a[x - 1] == b[y - 1]:
-        x, y, common = x - 1, y - 1, common + 1
-    while i < len(a) and j < len(b) and a[i] == b[j]:
-        i, j, common = i + 1, j + 1, common + 1
-    return x, i, y, j, common
+    for edits in (_USUAL, _WIDE):
+        before, after = _ends(a[:x][::-1], b[:y][::-1], edits), _ends(a[i:], b[j:], edits)
+        found = [(x - l[0], i + r[0], y - l[1], j + r[1], common + l[2] + r[2]) for l, r in product(before, after)]  # noqa: E741
+        found = [f for f in found if f[1] - f[0] >= rule.min_words and f[4] >= rule.similarity * max(f[1] - f[0], f[3] - f[2])]
+        if found:
+            return max(found, key=lambda f: f[4])
+    return None
 
 
 _PASSAGE = pa.schema([("doc_id", pa.int64()), ("source_id", pa.int64()), *((c, pa.int32()) for c in ("start_word", "end_word", "source_start", "source_end", "common"))])
@@ -302,14 +377,25 @@ def _aligned(rule: Chaining):
                 for r, d in enumerate(w.docs.tolist()):
                     if d in wanted:
                         words.setdefault(d, []).append(w.words[w.first[r] : w.first[r + 1]].copy())
+            rows = []
             for doc, source, base, blob, packed in zip(*(chains.column(c).to_pylist() for c in ("doc", "source", "base", "words", "anchors")), strict=True):
+                anchors = np.frombuffer(packed, np.int32).reshape(3, -1)
+                rows.append((doc, source, -int(anchors[2].sum()), int(anchors[0, 0]), base, blob, anchors))
+            last, own = None, []
+            for doc, source, _, _, base, blob, (ax, ay, al) in sorted(rows, key=lambda r: r[:5]):
+                if (doc, source) != last:
+                    last, own = (doc, source), []
+                # a chain within a passage of the same pair would give it again
+                if any(p[2] <= ax[0] and ax[-1] + al[-1] <= p[3] and p[4] <= ay[0] and ay[-1] + al[-1] <= p[5] for p in own):
+                    continue
                 a = np.frombuffer(blob, np.uint32).tolist()
-                ax, ay, al = np.frombuffer(packed, np.int32).reshape(3, -1)
-                low, high = max(0, int(ay[0]) - len(a)), int(ay[-1] + al[-1]) + len(a)
+                low, high = max(0, int(ay[0]) - 2 * len(a)), int(ay[-1] + al[-1]) + 2 * len(a)
                 anchors = list(zip((ax - base).tolist(), (ay - low).tolist(), al.tolist(), strict=True))
-                best = max((r for text in words.get(source, []) if (r := align(a, text[low:high].tolist(), anchors))), key=lambda r: r[4], default=None)
-                if best and best[4] >= rule.similarity * max(best[1] - best[0], best[3] - best[2]) and best[1] - best[0] >= rule.min_words:
-                    found.append((doc, source, best[0] + base, best[1] + base, best[2] + low, best[3] + low, best[4]))
+                aligned = (align(a, text[low:high].tolist(), anchors, rule) for text in words.get(source, []))
+                best = max((r for r in aligned if r), key=lambda r: r[4], default=None)
+                if best:
+                    own.append((doc, source, best[0] + base, best[1] + base, best[2] + low, best[3] + low, best[4]))
+                    found.append(own[-1])
         columns = list(zip(*found, strict=True)) if found else [[]] * len(_PASSAGE)
         return pa.table([pa.array(list(c), f.type) for c, f in zip(columns, _PASSAGE, strict=True)], schema=_PASSAGE)
 
@@ -332,7 +418,7 @@ def passages(docs: DataFrame, rule: Chaining = Chaining()) -> DataFrame:
     block_of = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(blocks)).cast("long")
     texts = docs.withColumn("block", block_of("doc_id")).repartition(parts, "block")
     seeds = texts.groupBy("block").applyInArrow(_seeds(rule, buckets), "bucket int, block long, rows binary")
-    first = seeds.groupBy("bucket").applyInArrow(_first_places, "block long, rows binary")
+    first = seeds.groupBy("bucket").applyInArrow(_first_places, "block long, bucket int, rows binary")
     chains = texts.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(_chains(rule, buckets), "doc long, source long, base int, words binary, anchors binary")
     chains = chains.withColumn("block", block_of("source"))
     return texts.groupBy("block").cogroup(chains.groupBy("block")).applyInArrow(_aligned(rule), _PASSAGE_DDL)

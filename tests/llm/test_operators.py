@@ -252,6 +252,35 @@ def test_fuzzy_passage_is_found(spark):
     assert (r.doc_id, r.source_id) == (2, 1) and r.end_word - r.start_word >= 70
 
 
+def test_recall_of_fuzzy_passages(spark):
+    """Passages of 40 to 60 words with changed, added and missing words, against the longest common subsequence of what was planted."""
+    rng = random.Random(17)
+    fresh = lambda n: [f"f{rng.random()}" for _ in range(n)]
+    rows, share, spans = [], {}, {}
+    for step in range(4, 12):
+        for n in (40, 50, 60):
+            for regular in (True, False) * 4:
+                passage, copy, phase = fresh(n), [], rng.randrange(step)
+                for i, w in enumerate(passage):
+                    edit = 0 < i < n - 1 and ((i + phase) % step == 0 if regular else rng.random() < 1 / step)
+                    copy += [w] if not edit else fresh(1) if regular else rng.choice(([], fresh(1), [w, *fresh(1)]))
+                d = len(rows)
+                rows += [(d, " ".join(fresh(25) + passage + fresh(25)), "en", "s"), (d + 1, " ".join(fresh(30) + copy + fresh(30)), "en", "s")]
+                alike = chaining.common_words([hash(w) for w in passage], [hash(w) for w in copy]) / max(len(copy), n)
+                grams = {tuple(passage[i : i + 5]) for i in range(n - 4)} & {tuple(copy[i : i + 5]) for i in range(len(copy) - 4)}
+                if alike >= 0.75 and len(copy) >= 40 and grams:
+                    share[d + 1], spans[d + 1] = alike, (30, 30 + len(copy))
+    found = {}
+    for r in chaining.passages(frame(spark, rows)).collect():
+        found.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    whole = {d for d, (a, b) in spans.items() if len(found.get(d, set()) & set(range(a, b))) >= 0.8 * (b - a)}
+    sure = {d for d, v in share.items() if v >= 0.8}
+    assert len(share) > 120 and min(share.values()) < 0.78
+    # what is missing has seeds of under 7 words only, or is under 40 words from the first common word to the last
+    assert len(whole) >= 0.94 * len(share) and len(whole & sure) >= 0.94 * len(sure), (len(whole), len(share), len(whole & sure), len(sure))
+    assert all(len(w - set(range(a, b))) <= 2 for d, (a, b) in spans.items() if (w := found.get(d)))
+
+
 def test_audio(docs, empty):
     got = {r.doc_id: r for r in audio.media_features(docs).collect()}
     for d, t, *_ in ROWS:
