@@ -49,7 +49,7 @@ def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
     low = (1 << _INDEX_BITS) - 1
     step = docs.withColumn("_t", F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(BLANK)))
     step = step.withColumn("_w", F.when(F.col("_t") == "", F.array().cast("array<string>")).otherwise(F.split("_t", SPACE)))
-    step = step.withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    step = step.withColumn("_l", F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     step = step.withColumn("_j", F.array_join("_w", ""))
     step = step.withColumn("_n", F.size("_w")).withColumn(
         "_g",

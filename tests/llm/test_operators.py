@@ -55,6 +55,14 @@ def test_quality_features_and_verdict(docs, empty):
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in got.values())
 
 
+def test_quality_lines_keep_their_outer_white_space(spark):
+    texts = ["a\r\nb\r\na\r\n", "x \ny\nx ", " x\ny\n x", "  x\nx", "\n\n a \n\n a ", " \t\n ", "", None, "    for\n        go\n    for\n" * 2]
+    got = {r.doc_id: r for r in quality.judged(frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        assert (got[i].n_words, got[i].word_chars, got[i].n_symbols, got[i].n_dup_lines, got[i].n_repeat_words) == features(t), t
+    assert [got[i].n_dup_lines for i in range(3)] == [1, 1, 1]
+
+
 def test_quality_symbols_are_fenced(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(f"w{rng.randint(0, 999)}" for _ in range(80)) + ("# " * 60 if i == 7 else ""), "en", "s") for i in range(60)]
