@@ -31,13 +31,12 @@ SUFFIXES = {"fr": "fr", "de": "de", "at": "de", "es": "es", "mx": "es", "ar": "e
 @dataclass(frozen=True)
 class Fusion:
     """How far declarations and suffixes are trusted, pages by which a host leans on its domain and a domain on the corpus,
-    trigrams at most that a text's likelihood counts as (neighbours aren't independent), and languages at most."""
+    and trigrams at most that a text's likelihood counts as (neighbours aren't independent)."""
 
     declared: float = 0.9
     suffix: float = 0.8
     smoothing: float = 5.0
     effective: float = 40.0
-    languages: int = 64
 
 
 def _trigrams(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,13 +67,13 @@ def _add(table: pa.Table) -> pa.Table:
     return pa.table({"lang": table.column("lang")[:1].combine_chunks(), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
-def train(docs: DataFrame, rule: Fusion = Fusion()) -> tuple[list[str], np.ndarray]:
-    """(languages, log probabilities of cells) from all documents with a language; the largest rule.languages ones."""
+def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
+    """(languages, log probabilities of cells) from all documents with a language; CELLS numbers for each of them."""
     ship(docs.sparkSession)
     some = docs.where("lang is not null and text is not null").select("lang", "text")
     # one row of CELLS counts for each language and task before the shuffle
     rows = some.mapInArrow(_count, "lang string, counts binary").groupBy("lang").applyInArrow(_add, "lang string, counts binary")
-    rows = rows.orderBy(F.length("counts").desc(), "lang").limit(rule.languages).collect()
+    rows = rows.orderBy("lang").collect()
     if not rows:
         return ["und"], np.zeros((1, CELLS))
     counts = np.stack([np.frombuffer(r.counts, np.int64) for r in rows]).astype(float) + 0.5
@@ -147,7 +146,7 @@ def identify(pages: DataFrame, docs: DataFrame, rule: Fusion = Fusion()) -> Data
     A null or empty page has no text evidence, an address without host only the corpus prior; without labelled
     documents the one language is 'und'.  Ties go to the language that sorts first.  Rows keep their page_id, null or
     repeated; other columns aren't read."""
-    languages, model = train(docs, rule)
+    languages, model = train(docs)
     shared = pages.sparkSession.sparkContext.broadcast(model)  # languages x CELLS numbers at most
     ddl = "page_id long, host string, domain string, declared string, n_trigrams long, evidence array<double>, soft array<long>"
     seen = saved(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(_evidence(languages, shared, rule), ddl), "zpages")

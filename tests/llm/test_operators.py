@@ -408,6 +408,13 @@ def test_licence_bounds_lose_nothing():
     assert got == expected
 
 
+def test_no_language_is_left_out(spark):
+    names = [f"{a}{b}" for a in "abcdefg" for b in "abcdefghij"] + ["vi", "zh"]
+    rows = [(i, f"text{name} " * (200 if name in ("vi", "zh") else 2), name, "s") for i, name in enumerate(names)]
+    languages, model = langid.train(frame(spark, rows))
+    assert languages == sorted(names) and model.shape == (len(names), langid.CELLS)
+
+
 PAGES = "page_id long, url string, html string, host string, lang string"
 
 
