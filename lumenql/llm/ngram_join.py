@@ -2,18 +2,21 @@
 
 1. One pass measures every text: size and fingerprint of its set of word 5-grams, a 1024-bit
    parity sketch, and a table of how often n-grams fall into each of 2**18 cells.  Cells seen more often
-   than usual come last in the *global n-gram order* (level, hash); rare ones come first.
-2. A second pass sends each set's prefix in that order, packed, to buckets of the order.  Sets
-   that reach the threshold share an n-gram of their prefixes, so a bucket finds the groups that
-   may hold links.
-3. Equal sets are one class.  Candidate pairs of classes must pass two exact bounds, on sizes and
-   on the sketches (the parity bits that differ never outnumber the symmetric difference).
+   than usual come last in the *global n-gram order* (level, hash); rare ones come first.  Equal sets
+   are one class, and from here on only classes travel.
+2. A second pass sends each set's prefix in that order, packed, to buckets of the order, a class once
+   for each task.  Sets that reach the threshold share n-grams of their prefixes, so a bucket finds the
+   groups that may hold links.  An n-gram of very many sets is dealt over several buckets.
+3. Candidate pairs of classes must pass two exact bounds, on sizes and on the sketches (the parity bits
+   that differ never outnumber the symmetric difference).
 4. The sets of the candidates that are left are cut into fragments of the global order; each
    fragment counts its partial overlap, and the counts are summed per pair.
 
-A group of m near copies would have m * m / 2 pairs.  Only a star of pairs is verified first;
-afterwards pairs count only if their ends are still in different components.  So no link
-between components is lost, and none within one is enumerated.
+A group of m near copies would have m * m / 2 pairs.  Each group has a hub, the member that shares most with others,
+as an original does with its copies.  Each set is verified against one hub first, then against the
+other hubs of its groups; afterwards pairs count only if their ends are still in different components.  So no link
+between components is lost, and none within one is enumerated.  A group is kept in parts of bounded
+size: its largest component stays where it is, and the members outside go to each part.
 """
 
 from __future__ import annotations
@@ -28,32 +31,43 @@ from pyspark.sql import functions as F
 
 from lumenql.llm import kernel as K
 from lumenql.llm.components import components
-from lumenql.llm.shared import bounded_buckets, dealt, dropped_since, mark, saved, ship, text_bytes, unpack_all
+from lumenql.llm.shared import bounded_buckets, dealt, dropped_since, mark, saved, ship, summed, text_bytes, unpack_all
 
 CELLS = 1 << 18
 _SLICES = 16
 _SKETCH = 16
+#: Steps of the logarithm of a set's size for each doubling.
+_STEPS = 1024
 _BITS = [f"s{i}" for i in range(_SKETCH)]
 
 
 @dataclass(frozen=True)
 class JaccardJoin:
-    """Words in an n-gram, threshold in percent, n-grams of the prefixes that a pair must share, fragments of the order, and
-    text bytes behind one bucket."""
+    """Words in an n-gram, threshold in percent, n-grams of the prefixes that a pair must share, fragments of the order,
+    text bytes behind one bucket, occurrences of an n-gram that meet in one, and members in one part of a group."""
 
     size: int = 5
     percent: int = 75
     shared: int = 4
     fragments: int = 8
     bucket_bytes: int = 24 << 20
+    split: int = 1 << 20
+    part: int = 1000
 
     def prefix(self, n: int) -> int:
         """N-grams of a set of n among which are `shared` that a set of any size has too, if both link."""
         return n - -(-self.percent * n // 100) + self.shared
 
-    def index_prefix(self, n: int) -> int:
-        """The same with sets that are at least as large."""
-        return n - -(-2 * self.percent * n // (100 + self.percent)) + self.shared
+    def suffix(self, n: Column) -> Column:
+        """What prefix() leaves of n n-grams."""
+        return F.greatest(F.lit(0), F.ceil(F.lit(self.percent) * n / F.lit(100)) - F.lit(self.shared))
+
+    def enough(self, x: Column, y: Column, weight: Column) -> Column:
+        """Whether sets of x and y n-grams whose prefixes share `weight` may link.
+
+        Of the prefix that ends first in the order all that is common is counted; the rest is in what that prefix leaves."""
+        overlap = F.ceil(F.lit(self.percent) * (x + y) / F.lit(100 + self.percent))
+        return weight >= overlap - F.greatest(self.suffix(x), self.suffix(y))
 
 
 def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -65,27 +79,30 @@ def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray]]:
         yield row, K.distinct(grams[begin[row] : begin[row + 1]])
 
 
+def _classes(sets: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit fingerprint of each set, of its size and two sums of its members' hashes."""
+    first = np.array([np.add.reduce(K.mix(s ^ np.uint64(0x5BD1E995))) for s in sets], np.uint64)
+    second = np.array([np.add.reduce(K.mix(s + K._SLOT[7])) for s in sets], np.uint64)
+    many = np.array([len(s) for s in sets], np.uint64)
+    return K.mix(first ^ K.mix(second + many * K._SLOT[0])).view(np.int64)
+
+
 _MEASURED = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), ("sig", pa.int64()), *((b, pa.int64()) for b in _BITS), ("counts", pa.binary())])
 _MEASURED_DDL = "kind int, doc_id long, n int, sig long, " + ", ".join(f"{b} long" for b in _BITS) + ", counts binary"
 
 
 def _measure(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.uint32)
+        cells = np.zeros(CELLS, np.int64)
         for batch in K.slices(batches):
-            rows, sketch, seen = [], [], []
-            for row, s in _sets(batch, size):
-                bits = np.bincount((s >> np.uint64(40)).astype(np.int64) & 1023, minlength=1024) & 1
-                sketch.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
-                rows.append((len(s), int(np.add.reduce(K.mix(s ^ np.uint64(0x5BD1E995))).view(np.int64)) if len(s) else 0))
-                seen.append(s)
-            all_seen = np.concatenate(seen)
-            cells += np.bincount((all_seen & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32)
-            wide = np.array(sketch, np.int64).reshape(-1, _SKETCH)
+            sets = [s for _, s in _sets(batch, size)]
+            bits = [np.bincount((s >> np.uint64(40)).astype(np.int64) & 1023, minlength=1024) & 1 for s in sets]
+            wide = np.packbits(np.array(bits, np.uint8), axis=1).view(np.int64)
+            cells += np.bincount((np.concatenate(sets) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
             yield pa.record_batch(
-                [pa.array(np.zeros(len(rows), np.int32)), batch.column("doc_id"), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64())]
+                [pa.array(np.zeros(len(sets), np.int32)), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array(_classes(sets))]
                 + [pa.array(wide[:, i].copy()) for i in range(_SKETCH)]
-                + [pa.nulls(len(rows), pa.binary())],
+                + [pa.nulls(len(sets), pa.binary())],
                 schema=_MEASURED,
             )
         blobs = [x.tobytes() for x in np.split(cells, _SLICES)]
@@ -95,17 +112,14 @@ def _measure(size: int):
     return run
 
 
-def _add_counts(table: pa.Table) -> pa.Table:
-    total = np.sum([np.frombuffer(x.as_buffer(), np.uint32).astype(np.int64) for x in table.column("counts")], axis=0)
-    return pa.table({"doc_id": table.column("doc_id")[:1].combine_chunks(), "counts": pa.array([total.tobytes()], pa.binary())})
-
+def _counts(measured: DataFrame) -> np.ndarray:
+    """How many n-grams fall into each cell: CELLS numbers whatever the corpus, so each task may hold them."""
+    rows = summed(measured.where("kind = 1").select(F.col("doc_id").alias("key"), "counts"), "long").collect()
+    return np.concatenate([np.frombuffer(r.counts, np.int64) for r in sorted(rows, key=lambda r: r.key)]) if rows else np.zeros(CELLS, np.int64)
 
-def _levels(measured: DataFrame) -> np.ndarray:
-    """For each cell of n-grams twice the logarithm of how much oftener than the mean it occurs, 0 at least.
 
-    CELLS bytes whatever the corpus, so each task may hold them."""
-    rows = measured.where("kind = 1").select("doc_id", "counts").groupBy("doc_id").applyInArrow(_add_counts, "doc_id long, counts binary").collect()
-    counts = np.concatenate([np.frombuffer(r.counts, np.int64) for r in sorted(rows, key=lambda r: r.doc_id)]) if rows else np.zeros(CELLS, np.int64)
+def _levels(counts: np.ndarray) -> np.ndarray:
+    """For each cell of n-grams twice the logarithm of how much oftener than the mean it occurs, 0 at least."""
     # a cell's count varies by its root; what is above that is level 1 and more
     mean = max(counts.mean(), 1.0)
     return np.clip(np.floor(2 * np.log2(np.maximum(counts, 1) / (mean + 4 * np.sqrt(mean))) + 1), 0, 127).astype(np.uint8)
@@ -119,26 +133,35 @@ def _in_order(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
 
 def _prefixes(join: JaccardJoin, buckets: int, shared) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = shared.value
+        levels, splits = shared.value
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        sent: set[int] = set()
 
         def flush() -> pa.RecordBatch:
-            grams, docs, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
-            out = list(dealt(grams, buckets, (grams // np.uint64(buckets)).astype(np.uint32), docs, sizes))
+            grams, sets, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            return pa.record_batch([pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "rows"])
+            split = splits[(grams & np.uint64(CELLS - 1)).astype(np.int64)]
+            one = split == 1
+            out = [(b, -1, x) for b, x in dealt(grams[one], buckets, (grams[one] // np.uint64(buckets)).astype(np.uint32), sets[one], sizes[one])]
+            if not one.all():
+                # a frequent n-gram: its sets are dealt over several turns, each with a bucket of its own
+                grams, sets, sizes, split = grams[~one], sets[~one], sizes[~one], split[~one]
+                turn = (K.mix(sets.view(np.uint64)) % split.astype(np.uint64)).astype(np.int64)
+                for t in np.unique(turn):
+                    i = turn == t
+                    out += [(b, int(t), x) for b, x in dealt(K.mix(grams[i] + np.uint64(t) * K._SLOT[3]), buckets, grams[i], sets[i], sizes[i])]
+            return pa.record_batch([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())], names=["bucket", "turn", "rows"])
 
         waiting = 0
         for batch in K.slices(batches):
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for row, s in _sets(batch, join.size):
-                if not len(s):
-                    continue
+            sets = [s for _, s in _sets(batch, join.size)]
+            for s, name in zip(sets, _classes(sets).tolist(), strict=True):
                 n = len(s)
+                if not n or name in sent:
+                    continue
+                sent.add(name)
                 some = _in_order(s, levels)[: join.prefix(n)]
-                sizes = np.full(len(some), -n, np.int32)
-                sizes[: join.index_prefix(n)] = n
-                held.append((some, np.full(len(some), ids[row], np.int64), sizes))
+                held.append((some, np.full(len(some), name, np.int64), np.full(len(some), round(_STEPS * np.log2(n)), np.uint16)))
                 waiting += len(some)
             if waiting > 1_000_000:
                 yield flush()
@@ -149,62 +172,76 @@ def _prefixes(join: JaccardJoin, buckets: int, shared) -> object:
     return run
 
 
-def _candidate_groups(table: pa.Table) -> pa.Table:
-    """Groups of documents that share prefix n-grams, each once: (gid, doc, lead, weight), weight being how many n-grams."""
-    (grams, docs, sizes), _ = unpack_all(table.column("rows"), "u4", "i8", "i4")
-    order, begin = K.grouped(grams)
-    many = np.diff(begin)
-    of = np.repeat(np.arange(len(many)), many)
-    docs, sizes = docs[order], sizes[order]
-    busy = (many >= 2) & (np.maximum.reduceat(sizes, begin[:-1]) > 0 if len(many) else np.zeros(0, bool))
-    take = busy[of]
-    docs, of = docs[take], of[take]
-    if not len(docs):
-        return pa.table({"gid": pa.array([], pa.int64()), "doc": pa.array([], pa.int64()), "lead": pa.array([], pa.int64()), "weight": pa.array([], pa.int64())})
-    begin = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-    name = K.mix(np.add.reduceat(K.mix(docs.view(np.uint64) ^ np.uint64(0x2545F4914F6CDD1D)), begin))
-    lead = np.minimum.reduceat(docs, begin)
-    most = np.maximum.reduceat(docs, begin)
-    _, once, weight = np.unique(name, return_index=True, return_counts=True)
-    real = lead[once] != most[once]
-    once, weight = once[real], weight[real]
-    ends = np.append(begin[1:], len(docs))
-    length = (ends - begin)[once]
-    at = np.repeat(begin[once], length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-    return pa.table({"gid": np.repeat(name[once].view(np.int64), length), "doc": docs[at], "lead": np.repeat(lead[once], length), "weight": np.repeat(weight, length)})
+_GROUPS = pa.schema([("gid", pa.int64()), ("part", pa.int64()), ("x", pa.int64()), ("members", pa.int64()), ("weight", pa.int64())])
+
+
+def _candidate_groups(join: JaccardJoin):
+    """Groups of sets that share prefix n-grams, each once: (gid, part, x, members, weight), weight being how many n-grams.
+
+    The turns of a frequent n-gram are parts of one group that the n-gram names."""
+
+    def run(table: pa.Table) -> pa.Table:
+        turn = table.column("turn")[0].as_py()
+        (grams, sets, sizes), _ = unpack_all(table.column("rows"), "u4" if turn < 0 else "u8", "i8", "u2")
+        order = np.lexsort((sets, sizes, grams))
+        grams, sets, sizes = grams[order], sets[order], sizes[order]
+        once = np.concatenate([[True], (grams[1:] != grams[:-1]) | (sets[1:] != sets[:-1])])
+        grams, sets, sizes = grams[once], sets[once], sizes[once]
+        if turn < 0:
+            # sizes too far apart can't link: from here on the runs of near sizes are what an n-gram stands for
+            grams = np.cumsum(np.concatenate([[0], (grams[1:] != grams[:-1]) | (sizes[1:].astype(int) - sizes[:-1] > _STEPS * np.log2(100 / join.percent) + 2)]))
+            begin = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+            many = np.diff(np.append(begin, len(grams)))
+            take = np.repeat(many >= 2, many)
+            grams, sets = grams[take], sets[take]
+        if not len(grams):
+            return _GROUPS.empty_table()
+        begin = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+        ends = np.append(begin[1:], len(sets))
+        if turn < 0:
+            name = K.mix(np.add.reduceat(K.mix(sets.view(np.uint64) ^ np.uint64(0x2545F4914F6CDD1D)), begin))
+            _, once, weight = np.unique(name, return_index=True, return_counts=True)
+        else:
+            name, once, weight = K.mix(grams[begin]), np.arange(len(begin)), np.ones(len(begin), np.int64)
+        length = (ends - begin)[once]
+        within = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+        gid, members, weight = (np.repeat(c, length) for c in (name[once].view(np.int64), length, weight))
+        part = within // join.part + (max(turn, 0) << 32)
+        return pa.table([pa.array(c) for c in (gid, part, sets[np.repeat(begin[once], length) + within], members, weight)], schema=_GROUPS)
+
+    return run
 
 
 def _fragments(join: JaccardJoin, shared) -> object:
+    """Each set's fragments for each bucket that has pairs of it, with the first sets `tops` of those pairs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = shared.value
+        levels, _ = shared.value
         last = join.fragments - 1
         for batch in K.slices(batches):
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            docs, parts, blobs = [], [], []
-            for row, s in _sets(batch, join.size):
+            rows = []
+            sets = [s for _, s in _sets(batch, join.size)]
+            for s, name, spots in zip(sets, _classes(sets).tolist(), batch.column("spots").to_pylist(), strict=True):
                 # the frequent end of the order is one fragment, hash ranges of the rest are the others
                 hot = levels[(s & np.uint64(CELLS - 1)).astype(np.int64)] > 0
                 part = np.where(hot, last, ((s >> np.uint64(33)) * np.uint64(last)) >> np.uint64(31)).astype(np.int64)
-                for p in np.unique(part):
-                    docs.append(ids[row])
-                    parts.append(p)
-                    blobs.append(s[part == p].tobytes())
-            yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=["doc", "part", "grams"])
+                for p in np.unique(part).tolist():
+                    blob = s[part == p].tobytes()
+                    rows += [(spot["bucket"], p, name, np.array(spot["tops"], np.int64).tobytes(), blob) for spot in spots]
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            yield pa.record_batch([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["bucket", "part", "x", "tops", "grams"])
 
     return run
 
 
 def _overlaps(table: pa.Table) -> pa.Table:
-    """Partial overlaps in one fragment of the pairs (a, doc) of a bucket; the row with doc = a has the set of a."""
+    """Partial overlaps in one fragment of the pairs (top, x) of a bucket."""
     own: dict[int, np.ndarray] = {}
-    others: dict[tuple[int, int], np.ndarray] = {}
-    for a, doc, blob in zip(table.column("a").to_pylist(), table.column("doc").to_pylist(), table.column("grams"), strict=True):
-        s = np.frombuffer(blob.as_buffer(), np.uint64)
-        if a == doc:
-            own[a] = s if a not in own or len(s) > len(own[a]) else own[a]
-        elif (a, doc) not in others or len(s) > len(others[a, doc]):
-            others[a, doc] = s
-    found = [(a, b, _common(own[a], s)) for (a, b), s in others.items() if a in own]
+    tops: dict[int, np.ndarray] = {}
+    for x, firsts, blob in zip(table.column("x").to_pylist(), table.column("tops"), table.column("grams"), strict=True):
+        own[x], tops[x] = np.frombuffer(blob.as_buffer(), np.uint64), np.frombuffer(firsts.as_buffer(), np.int64)
+    found = [(a, b, _common(own[a], own[b])) for b, firsts in tops.items() for a in firsts.tolist() if a != b and a in own]
     return pa.table([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], names=["a", "b", "common"])
 
 
@@ -214,11 +251,11 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int((z[1:] == z[:-1]).sum())
 
 
-def _may_link(percent: int, x: str, y: str) -> Column:
-    """Exact bounds: sizes, and overlap <= (|x| + |y| - differing parity bits) / 2."""
+def _may_link(percent: int, x: str, y: str, bits: list[str] = _BITS) -> Column:
+    """Exact bounds: sizes, and overlap <= (|x| + |y| - differing parity bits) / 2; of some of the sketch's words it holds too."""
     nx, ny = F.col(f"{x}.n").cast("long"), F.col(f"{y}.n").cast("long")
     sizes = 100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)
-    differ = sum((F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in _BITS), F.lit(0))
+    differ = sum((F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in bits), F.lit(0))
     return sizes & ((100 + percent) * (nx + ny - differ) >= 2 * percent * (nx + ny))
 
 
@@ -235,77 +272,95 @@ def jaccard_components(docs: DataFrame, join: JaccardJoin = JaccardJoin()) -> Da
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = docs.where("doc_id is not null")
     measured = saved(docs.mapInArrow(_measure(join.size), _MEASURED_DDL), "zmeasured")
-    shared = spark.sparkContext.broadcast(_levels(measured))
+    counts = _counts(measured)
+    shared = spark.sparkContext.broadcast((_levels(counts), 1 + counts // join.split))
     sets = measured.where("kind = 0").select("doc_id", "n", "sig", *_BITS)
     facts = sets.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("n", "sig", *_BITS)).alias("m")).select("doc_id", "m.*")
-    with_words = facts.where("n > 0")
-    classes = with_words.groupBy("n", "sig").agg(F.min("doc_id").alias("rep"))
-    classed = saved(with_words.join(classes, ["n", "sig"]), "zclasses")
-    reps = classed.where("doc_id = rep").select("rep", "n", *_BITS)
-    of = classed.select("doc_id", "rep")
-
-    buckets = bounded_buckets(text_bytes(known), join.bucket_bytes)
-    packed = known.mapInArrow(_prefixes(join, buckets, shared), "bucket int, rows binary")
-    groups = packed.groupBy("bucket").applyInArrow(_candidate_groups, "gid long, doc long, lead long, weight long")
-    # documents become classes
-    groups = groups.join(of.select(F.col("doc_id").alias("doc"), F.col("rep").alias("x")), "doc").join(of.select(F.col("doc_id").alias("lead"), F.col("rep").alias("y")), "lead")
-    groups = saved(groups.groupBy("gid", "x", "y").agg(F.sum("weight").alias("weight")), "zgroups")
-    # of two sets that link, this many prefix n-grams are the same, or the whole overlap if that is less
-    enough = lambda n_both: F.col("weight") >= F.least(F.lit(join.shared), F.ceil(F.lit(join.percent) * n_both / F.lit(100 + join.percent)))
-
-    def plausible(pairs: DataFrame) -> DataFrame:
-        p = pairs.alias("p").join(reps.alias("ra"), F.col("p.a") == F.col("ra.rep")).join(reps.alias("rb"), F.col("p.b") == F.col("rb.rep"))
-        return p.where(_may_link(join.percent, "ra", "rb")).where(enough(F.col("ra.n") + F.col("rb.n"))).select("p.a", "p.b", (F.col("ra.n") + F.col("rb.n")).cast("long").alias("n_both"))
-
-    fragments: list[DataFrame] = []
+    classed = saved(facts, "zclassed")
+    reps = saved(classed.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), *(F.max(b).alias(b) for b in _BITS)), "zclasses")
+
+    total = text_bytes(known)
+    buckets = bounded_buckets(total, join.bucket_bytes)
+    parts = bounded_buckets(total, 64 << 20, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    packed = known.mapInArrow(_prefixes(join, buckets, shared), "bucket int, turn int, rows binary").repartition(parts, "bucket")
+    groups = packed.groupBy("bucket", "turn").applyInArrow(_candidate_groups(join), "gid long, part long, x long, members long, weight long")
+    # a set of members that several n-grams share is one group
+    # both sides of the joins below grow with the corpus: none is broadcast
+    reps_by = reps.hint("merge")
+    groups = saved(groups.groupBy("gid", "part", "x").agg(F.sum("weight").alias("weight"), F.max("members").alias("members")), "zgroups")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of (a, b, n_both) that reach the threshold."""
-        wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        for have in fragments:
-            wanted = wanted.join(have.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_anti")
-        wanted = saved(wanted, "zwanted")
-        if not wanted.isEmpty():
-            sized = known.join(wanted, "doc_id", "left_semi").mapInArrow(_fragments(join, shared), "doc long, part int, grams binary")
-            fragments.append(saved(sized, "fragments"))
-        if not fragments:
-            return pairs.select("a", "b").limit(0)
-        cut = fragments[0]
-        for more in fragments[1:]:
-            cut = cut.unionByName(more)
-        # about 2000 pairs a bucket; a leader of many pairs is in several
+        # about 2000 pairs a bucket; a hub of many pairs is in several
         buckets = 1 + pairs.count() // 2000
         many = pairs.groupBy("a").agg((1 + F.floor(F.count("*") / 1000)).cast("long").alias("salts"))
-        dealt_out = pairs.join(many, "a").withColumn("bucket", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), "salts")), F.lit(buckets)))
-        members = dealt_out.select("bucket", "a", F.col("b").alias("doc")).unionByName(dealt_out.select("bucket", "a", F.col("a").alias("doc")).distinct())
-        counts = members.join(cut, "doc").groupBy("bucket", "part").applyInArrow(_overlaps, "a long, b long, common long").groupBy("a", "b").agg(F.sum("common").alias("common"))
-        full = counts.join(pairs, ["a", "b"])
+        dealt_out = pairs.join(many.hint("merge"), "a").withColumn("bucket", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), "salts")), F.lit(buckets)))
+        members = dealt_out.select("bucket", "a", F.col("b").alias("sig")).unionByName(dealt_out.select("bucket", "a", F.col("a").alias("sig")).distinct())
+        spots = members.groupBy("sig", "bucket").agg(F.collect_list("a").alias("tops")).groupBy("sig").agg(F.collect_list(F.struct("bucket", "tops")).alias("spots"))
+        wanted = saved(spots.join(reps_by.select("sig", F.col("rep").alias("doc_id")), "sig").drop("sig"), "zwanted")
+        cut = known.join(wanted, "doc_id").mapInArrow(_fragments(join, shared), "bucket long, part int, x long, tops binary, grams binary")
+        counts = cut.groupBy("bucket", "part").applyInArrow(_overlaps, "a long, b long, common long").groupBy("a", "b").agg(F.sum("common").alias("common"))
+        full = counts.join(pairs.hint("merge"), ["a", "b"])
         return full.where(f"{100 + join.percent} * common >= {join.percent} * n_both").select("a", "b")
 
-    star = groups.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "weight").groupBy("a", "b").agg(F.sum("weight").alias("weight"))
-    first = saved(plausible(star), "zpairs")
+    # the hub of a group: of what shares most with others the most
+    weight = groups.groupBy("x").agg(F.sum(F.col("weight") * F.col("members")).alias("rank"))
+    by_part = groups.join(weight.hint("merge"), "x").groupBy("gid", "part").agg(F.max(F.struct("rank", "x")).alias("m"))
+    hubs = by_part.select("gid", "part").join(by_part.groupBy("gid").agg(F.max("m").alias("m")).hint("merge"), "gid").select("gid", "part", F.col("m.rank").alias("rank"), F.col("m.x").alias("hub"))
+    star = groups.join(hubs.hint("merge"), ["gid", "part"]).where("x <> hub").groupBy("x", "hub").agg(F.sum("weight").alias("weight"), F.max("rank").alias("rank"))
+    p = star.alias("p").join(reps_by.alias("ra"), F.col("p.x") == F.col("ra.sig")).join(reps_by.alias("rb"), F.col("p.hub") == F.col("rb.sig"))
+    p = p.where(_may_link(join.percent, "ra", "rb")).where(join.enough(F.col("ra.n"), F.col("rb.n"), F.col("p.weight")))
+    star = saved(p.select("p.x", "p.hub", "p.rank", (F.col("ra.n") + F.col("rb.n")).cast("long").alias("n_both")), "zstar")
+    ends = lambda df: df.select(F.least("x", "hub").alias("a"), F.greatest("x", "hub").alias("b"), "n_both").distinct()
+    best = star.groupBy("x").agg(F.max(F.struct("rank", "hub", "n_both")).alias("m")).select("x", "m.hub", "m.n_both")
+    first = saved(ends(best), "zpairs")
     links = saved(verified(first), "zlinks")
     label = saved(components(links), "zcomponents")
-    named = groups.join(label, F.col("x") == F.col("node"), "left").select("gid", "x", "weight", F.coalesce("component", "x").alias("c"))
-    split = named.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("gid")
-    open_ = saved(named.join(split, "gid", "left_semi").join(reps, F.col("x") == F.col("rep")).select("gid", "x", "c", "weight", "n", *_BITS), "zopen")
-    l, r = open_.alias("l"), open_.alias("r")
-    across = l.join(r, (F.col("l.gid") == F.col("r.gid")) & (F.col("l.x") < F.col("r.x")) & (F.col("l.c") != F.col("r.c")) & _may_link(join.percent, "l", "r"))
-    across = across.groupBy(F.col("l.x").alias("a"), F.col("r.x").alias("b"), (F.col("l.n") + F.col("r.n")).cast("long").alias("n_both")).agg(F.sum("l.weight").alias("weight"))
-    across = across.where(enough(F.col("n_both"))).drop("weight")
-    second = saved(across.join(first, ["a", "b"], "left_anti"), "zpairs")
+    of = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c")).hint("merge")
+    apart = star.join(of("x"), "x", "left").join(of("hub"), "hub", "left").where(F.coalesce("x_c", "x") != F.coalesce("hub_c", "hub"))
+    also = saved(ends(apart).join(first, ["a", "b"], "left_anti"), "zpairs")
+    links = saved(links.unionByName(verified(also)), "zlinks")
+    label = saved(components(links), "zcomponents")
+    named = saved(groups.join(label.hint("merge"), F.col("x") == F.col("node"), "left").select("gid", "part", "x", "weight", F.coalesce("component", "x").alias("c")), "znamed")
+    # what is in more than one component: its parts, and the largest component
+    tally = named.groupBy("gid", "part", "c").agg(F.count("*").alias("rows"))
+    largest = tally.groupBy("gid", "c").agg(F.sum("rows").alias("rows")).groupBy("gid").agg(F.max(F.struct("rows", "c")).alias("m"), F.count("*").alias("components"))
+    largest = largest.where("components > 1").select("gid", F.col("m.c").alias("main"))
+    spots = tally.select("gid", "part").distinct().join(largest.hint("merge"), "gid")
+    spots = spots.join(spots.groupBy("gid").agg(F.collect_list("part").alias("parts")).hint("merge"), "gid")
+    some = _BITS[:4]
+    open_ = saved(named.join(spots.hint("merge"), ["gid", "part"]).join(reps_by.select(F.col("sig").alias("x"), "n", *some), "x"), "zopen")
+    outside = open_.where("c <> main").withColumn("at", F.explode("parts"))
+    l, r = open_.where("c = main").alias("l"), outside.alias("r")
+    one = l.join(r, (F.col("l.gid") == F.col("r.gid")) & (F.col("l.part") == F.col("r.at")) & _may_link(join.percent, "l", "r", some))
+    # two parts meet once, as (smaller, larger)
+    ranged = outside.select("*", F.least("part", "at").alias("low"), F.greatest("part", "at").alias("high"))
+    l, r = ranged.alias("l"), ranged.alias("r")
+    meet = (F.col("l.gid") == F.col("r.gid")) & (F.col("l.low") == F.col("r.low")) & (F.col("l.high") == F.col("r.high"))
+    two = l.join(r, meet & (F.col("l.x") < F.col("r.x")) & (F.col("l.c") != F.col("r.c")) & ((F.col("l.part") != F.col("r.part")) | (F.col("l.low") == F.col("l.high"))) & _may_link(join.percent, "l", "r", some))
+    pair = lambda df: df.select(F.least("l.x", "r.x").alias("a"), F.greatest("l.x", "r.x").alias("b"), F.col("l.n").alias("nx"), F.col("r.n").alias("ny"), F.col("l.weight").alias("weight"))
+    across = pair(one).unionByName(pair(two)).groupBy("a", "b", F.least("nx", "ny").alias("nx"), F.greatest("nx", "ny").alias("ny")).agg(F.sum("weight").alias("weight"))
+    across = across.where(join.enough(F.col("nx"), F.col("ny"), F.col("weight"))).alias("p")
+    across = across.join(reps.alias("ra"), F.col("p.a") == F.col("ra.sig")).join(reps.alias("rb"), F.col("p.b") == F.col("rb.sig")).where(_may_link(join.percent, "ra", "rb"))
+    across = across.select("p.a", "p.b", (F.col("p.nx") + F.col("p.ny")).cast("long").alias("n_both"))
+    second = saved(across.join(first, ["a", "b"], "left_anti").join(also, ["a", "b"], "left_anti"), "zpairs")
     more = saved(verified(second), "zlinks")
 
-    by_class = components(links.unionByName(more))
-    final = classed.select("doc_id", "rep").join(by_class, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
+    by_class = saved(components(links.unionByName(more)), "zcomponents").join(reps_by.select(F.col("sig").alias("node"), "rep"), "node")
+    least = by_class.groupBy("component").agg(F.min("rep").alias("component_id"))
+    of = by_class.join(least.hint("merge"), "component").select(F.col("node").alias("sig"), "component_id")
+    final = classed.where("n > 0").select("doc_id", "sig").join(reps_by.select("sig", "rep"), "sig").join(of.hint("merge"), "sig", "left").select("doc_id", F.coalesce("component_id", "rep").alias("component_id"))
     sizes = sets.groupBy("doc_id").agg(F.max("n").cast("long").alias("n_shingles"))
-    result = sizes.join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    result = sizes.join(final.hint("merge"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     result = saved(result, "zjoined")
     dropped_since(since, result)
     return result
 
 
 def keep_one(docs: DataFrame, join: JaccardJoin = JaccardJoin()) -> DataFrame:
-    """The documents whose doc_id is their component's smallest, and those without doc_id."""
-    found = jaccard_components(docs, join)
-    return docs.join(found.where("component_id <> doc_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """The documents whose doc_id is their component's smallest, and those without doc_id; rows that repeat a kept doc_id all stay.
+
+    An empty table gives an empty one; other columns are kept whatever their names."""
+    found = jaccard_components(docs, join).where("component_id <> doc_id").select("doc_id")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"))
+    return whole.join(found, "doc_id", "left_anti").select("_row.*")

@@ -70,8 +70,6 @@ def _remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-
-
 def mark() -> int:
     """How many tables saved() has written so far."""
     return len(_written)
@@ -104,6 +102,27 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).cast("long")).first()[0]
 
 
+_FAN = 256
+
+
+def _add(table: pa.Table) -> pa.Table:
+    total = np.zeros(len(table.column("counts")[0].as_buffer()) // 8, np.int64)
+    for x in table.column("counts"):
+        total += np.frombuffer(x.as_buffer(), np.int64)
+    return pa.table({"key": table.column("key")[:1].combine_chunks(), "turn": table.column("turn")[:1].combine_chunks(), "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def summed(counts: DataFrame, kind: str) -> DataFrame:
+    """(key, counts) from (key: `kind`, counts: 64-bit integers as bytes): element by element, in a tree of which each group has about 256 rows."""
+    most = counts.groupBy("key").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    counts = counts.withColumn("turn", F.lit(0).cast("long"))
+    while most > _FAN:
+        most = -(-most // _FAN)
+        dealt_out = counts.withColumn("turn", F.floor(F.rand(most) * F.lit(most)).cast("long"))
+        counts = saved(dealt_out.groupBy("key", "turn").applyInArrow(_add, f"key {kind}, turn long, counts binary"), "zcounts")
+    return counts.withColumn("turn", F.lit(0).cast("long")).groupBy("key", "turn").applyInArrow(_add, f"key {kind}, turn long, counts binary").select("key", "counts")
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays of one length as bytes, one after the other; unpack() needs their types."""
     return b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)

@@ -128,6 +128,64 @@ def test_jaccard_null_and_repeated_ids(spark):
     assert got == [(1, 2, 1), (2, 2, 1), (None, 2, None)]
 
 
+def _near_copies(rng, n):
+    """n texts of which many are near each other, others share one common run only."""
+    vocabulary = [f"w{i}" for i in range(60)]
+    base = [rng.choice(vocabulary) for _ in range(60)]
+    common = "one very common run of words in all"
+    out = []
+    for i in range(n):
+        if i % 3:
+            w = list(base)
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w))] = rng.choice(vocabulary)
+            out.append(" ".join(w))
+        else:
+            out.append(common + " " + " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 6))))
+    return out
+
+
+def test_jaccard_split_groups(spark):
+    """Frequent n-grams over several turns, groups over several parts, contraction rounds: the same links."""
+    rows = [(i, t, None, None) for i, t in enumerate(_near_copies(random.Random(12), 150))]
+    expected = links(rows)
+    assert 5 < len({c for _, c in expected.values()}) < 120
+    for join in (ngram_join.JaccardJoin(split=200, part=7, bucket_bytes=2000), ngram_join.JaccardJoin(part=5)):
+        assert by_id(ngram_join.jaccard_components(frame(spark, rows), join), "n_shingles", "component_id") == expected
+
+
+def test_jaccard_many_exact_copies(spark):
+    some = _near_copies(random.Random(13), 60)
+    rows = [(i, some[0] if i >= 60 else some[i], None, None) for i in range(10_000)]
+    expected = links(rows[:60])
+    got = by_id(ngram_join.jaccard_components(frame(spark, rows)), "n_shingles", "component_id")
+    assert all(got[i] == expected[i if i < 60 else 0] for i in range(10_000))
+
+
+def test_keep_one_with_dotted_names(spark):
+    rows = frame(spark, [(2, "a b c d e f", None, None), (1, "a b c d e f", None, None), (3, None, None, None)]).withColumnRenamed("lang", "la.ng").withColumnRenamed("size", "_row")
+    kept = ngram_join.keep_one(rows)
+    assert kept.columns == rows.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
+@pytest.mark.parametrize("bound", [0, 10, 1 << 20])
+def test_components_with_bound(spark, bound):
+    rng = random.Random(4)
+    pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)]
+    parent = list(range(200))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    expected = {(x, root(x)) for p in pairs if p[0] != p[1] for x in p}
+    assert {tuple(r) for r in components.components(spark.createDataFrame(pairs, "a long, b long"), bound).collect()} == expected
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {tuple(r) for r in components.components(edges).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
