@@ -60,45 +60,64 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 def mixed(docs: DataFrame, size: Column, quality: Column, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, bins: int = 4096) -> DataFrame:
     """docs with size, source_size, target, taken and copies (how often a document is taken).
 
-    Keys depend on doc_id and text only, so reruns agree; rows that repeat a doc_id have one key and are taken
-    in order of size.  Documents of size 0 and null sources are ordinary members.  Of a source's last,
-    fractional epoch the documents are taken whose half lies within the budget, so that a source
-    misses its target by half a document at most.  Texts stay where they are: what is sorted and shuffled is
-    keys and sizes, and each source's cut comes back as one row."""
+    Keys depend on doc_id and text only, so reruns agree; a null doc_id is drawn by its text.  Documents of size 0 and null
+    sources are ordinary members.  Of a source's last, fractional epoch the documents are taken whose half lies within
+    the budget, so that a source misses its target by half a document at most; of rows alike in doc_id and text that
+    the budget ends among, as many are taken as fit.  No row is taken more than `most` times.  Texts stay
+    where they are: what is sorted and shuffled is keys and sizes, and each source's cut comes back as one row.  Other
+    columns are kept whatever their names; those named like the new ones are replaced."""
     named = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "copies")]
-    digest = F.md5(F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("mix")))
+    text = F.md5(F.coalesce(F.col("text"), F.lit("")))
+    digest = F.md5(F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), text), F.lit("mix")))
     u = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 48))
-    size, key = size.cast("long"), -F.log(u) / quality
-    slim = saved(docs.select("source", size.alias("size"), key.alias("_key"), digest.alias("_tie")), "zmixing")
-    goal = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
+    drawn = docs.select(F.struct(*(F.col(f"`{c}`") for c in named)).alias("_row"), "source", size.cast("long").alias("size"), (-F.log(u) / quality).alias("_key"), F.concat(digest, text).alias("_tie"))
+    # an exponential key scaled to [0, 1): bins of about equal rows, none outside
+    drawn = drawn.withColumn("_at", F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * F.lit(float(bins))).cast("int"))
+    # rows alike are one class, so that repeats meet in no task
+    slim = saved(drawn.groupBy("source", "_at", "_key", "_tie", "size").agg(F.count("*").alias("_n")), "zmixing")
+    words = F.sum(F.col("size") * F.col("_n"))
+    goal = targets(slim.groupBy("source").agg(words.alias("source_size")), weights, share, most)
     epochs = F.coalesce(F.floor(F.col("target") / F.expr("nullif(source_size, 0)")), F.lit(0)).cast("long")
     goal = saved(goal.withColumn("_epochs", epochs).withColumn("_rest", F.col("target") - F.col("_epochs") * F.col("source_size")), "zgoals")
-    # an exponential key scaled to [0, 1): bins of about equal rows, none outside
-    binned = F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * F.lit(float(bins))).cast("int")
-    sums = slim.groupBy("source", binned.alias("_bin")).agg(F.sum("size").alias("_sum"))
+    sums = slim.groupBy("source", F.col("_at").alias("_bin")).agg(words.alias("_sum"))
     ahead = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     g = goal.select(F.col("source").alias("_source"), "_rest")
     plan = ahead.join(g, F.col("source").eqNullSafe(F.col("_source"))).select("_source", "_bin", "_rest", "_before", (F.col("_before") + F.col("_sum")).alias("_after"))
     whole = plan.where("_after <= _rest").groupBy("_source").agg(F.max("_bin").alias("_last"))
     # the one bin of a source in which its budget ends
-    ends = plan.where("_after > _rest and _before < _rest")
-    inside = slim.withColumn("_at", binned).join(ends, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_at") == F.col("_bin")))
-    upto = F.sum("size").over(Window.partitionBy("_source", "_bin").orderBy("_key", "_tie", "size").rowsBetween(Window.unboundedPreceding, 0))
-    place = lambda k, t, s: F.struct(k.alias("k"), t.alias("t"), s.alias("s"))
-    taken = F.col("_before") + upto - F.col("size") / 2 <= F.col("_rest")
-    cut = inside.withColumn("_taken", taken).where("_taken").groupBy("_source", "_bin").agg(F.max(place(F.col("_key"), F.col("_tie"), F.col("size"))).alias("_cut"))
+    ends = plan.where("_after > _rest and _before <= _rest")
+    inside = slim.join(ends, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_at") == F.col("_bin")))
+    upto = F.sum(F.col("size") * F.col("_n")).over(Window.partitionBy("_source", "_bin").orderBy("_key", "_tie", "size").rowsBetween(Window.unboundedPreceding, 0))
+    place = F.struct(F.col("_key").alias("k"), F.col("_tie").alias("t"), F.col("size").alias("s"))
+    room = F.col("_rest") - F.col("_before") - (upto - F.col("size") * F.col("_n"))
+    fit = F.when(F.col("size") == 0, F.when(room >= 0, F.col("_n")).otherwise(0)).otherwise(F.greatest(F.lit(0), F.least(F.col("_n"), F.floor(room / F.col("size") + F.lit(0.5)))))
+    cut = inside.withColumn("_fit", fit).where("_fit > 0").groupBy("_source", "_bin").agg(F.max(F.struct(place.alias("p"), "_fit", "_n")).alias("_m"))
+    cut = cut.select("_source", "_bin", F.col("_m.p").alias("_cut"), F.col("_m._fit").alias("_fit"), F.col("_m._n").alias("_of"))
     o, w, c = goal.alias("o"), whole.alias("w"), cut.alias("c")
     sources = o.join(w, F.col("o.source").eqNullSafe(F.col("w._source")), "left").join(c, F.col("o.source").eqNullSafe(F.col("c._source")), "left")
-    sources = saved(sources.select(F.col("o.source").alias("_source"), "source_size", "target", "_epochs", "_last", F.col("c._bin").alias("_end"), "_cut"), "zsources")
+    sources = saved(sources.select(F.col("o.source").alias("_source"), "source_size", "target", "_epochs", "_last", F.col("c._bin").alias("_end"), "_cut", "_fit", "_of"), "zsources")
     # one row a source: broadcast while Spark finds it small, a skew-split sort-merge join beyond
-    rows = docs.select(*named, size.alias("size"), key.alias("_key"), digest.alias("_tie")).withColumn("_at", binned).join(sources, F.col("source").eqNullSafe(F.col("_source")))
-    more = F.when(F.col("_at") <= F.col("_last"), 1).when((F.col("_at") == F.col("_end")) & (place(F.col("_key"), F.col("_tie"), F.col("size")) <= F.col("_cut")), 1).otherwise(0)
-    copies = F.col("_epochs") + more.cast("long")
-    return rows.select(*named, "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    rows = drawn.join(sources, F.col("source").eqNullSafe(F.col("_source")))
+    more = F.when(F.col("_at") <= F.col("_last"), 1).when((F.col("_at") == F.col("_end")) & (place <= F.col("_cut")), 1).otherwise(0)
+    rows = rows.withColumn("_more", more.cast("long"))
+    if not sources.where("_fit < _of").isEmpty():
+        # some rows alike are taken and some not: those rows are written with a number, counted by task, and dealt from the first on
+        edge = (F.col("_at") == F.col("_end")) & (place == F.col("_cut")) & (F.col("_fit") < F.col("_of"))
+        edge = F.coalesce(edge, F.lit(False))
+        alike = saved(rows.where(edge).withColumn("_id", F.monotonically_increasing_id()).withColumn("_task", F.shiftright("_id", 33)), "zedge")
+        tally = alike.groupBy("source", "_task").agg(F.count("*").alias("_here"))
+        first = F.coalesce(F.sum("_here").over(Window.partitionBy("source").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        tally = tally.select(F.col("source").alias("_s"), F.col("_task").alias("_t"), first.alias("_first"))
+        dealt = alike.join(tally, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_task") == F.col("_t")))
+        turn = F.col("_first") + F.row_number().over(Window.partitionBy("source", "_task").orderBy("_id"))
+        dealt = dealt.withColumn("_more", F.when(turn <= F.col("_fit"), 1).otherwise(0).cast("long")).select(*rows.columns)
+        rows = rows.where(~edge).unionByName(dealt)
+    copies = F.least(F.col("_epochs") + F.col("_more"), F.lit(int(most)).cast("long"))
+    return rows.select("_row.*", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
 
 
 def mix_sources(docs: DataFrame) -> DataFrame:
-    """The mix itself: each document as often as it is taken."""
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "doc_id", "source", "text")
+    """The mix itself: each document as often as it is taken; an empty table gives an empty one."""
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_all"), "doc_id", "source", "text")
     chosen = mixed(whole, size_of(), quality_of()).where("copies > 0")
-    return chosen.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")
+    return chosen.select("_all", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_all.*")

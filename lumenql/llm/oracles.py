@@ -72,7 +72,7 @@ MIXING = rf"""
 WITH d AS (
   SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size,
          greatest(0.1e0, 1.0e0 - 5.0e0 * length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]+', '', 'g')) / greatest(length(coalesce(text, '')), 1)) AS q,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '') || chr(31) || 'mix') AS h
+         md5(coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) || chr(31) || 'mix') AS h
   FROM documents),
 k AS (SELECT *, -ln((CAST('0x' || substr(h, 1, 12) AS BIGINT)::DOUBLE + 0.5e0) / 281474976710656e0) / q AS key FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source),
