@@ -21,7 +21,8 @@ from lumenql.llm.shared import saved
 
 SPACE = r"[\x20\x09-\x0D]+"
 BLANK = " \t\n\x0b\x0c\r"
-_INDEX_BITS = 24
+#: Words up to which a window's hash keeps so many bits beside its place that two differing ones don't meet.
+_PACKED = 1 << 16
 #: metric -> least distance between the upper quartile and the fence, in thousandths.
 SLACK = {"symbols": 50, "dup_lines": 350, "marks": 100, "word_length": 4000}
 
@@ -37,35 +38,42 @@ class QualityRules:
     min_group: int = 30
 
 
-def _packed(gram: Column, index: Column) -> Column:
-    return F.shiftleft(F.shiftright(gram, _INDEX_BITS), _INDEX_BITS).bitwiseOR(index.cast("long"))
-
-
 def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_marks and n_lines (all long).
 
-    A null or empty text has zeros.  The repeated 3-word windows are found by sorting packed
-    (hash, position) integers, so a text of n words costs n log n however repetitive it is."""
-    low = (1 << _INDEX_BITS) - 1
-    step = docs.withColumn("_t", F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(BLANK)))
+    A null or empty text has zeros.  The repeated 3-word windows are found by sorting (hash, place), so a text of n
+    words costs n log n however repetitive it is; in texts of usual length both are packed into one integer, of which the
+    place takes as many bits as the text needs."""
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    step = docs.select(F.struct(*kept).alias("_docs"), F.col(f"`{text}`").alias("_text"))
+    step = step.withColumn("_t", F.btrim(F.coalesce(F.col("_text"), F.lit("")), F.lit(BLANK)))
     step = step.withColumn("_w", F.when(F.col("_t") == "", F.array().cast("array<string>")).otherwise(F.split("_t", SPACE)))
-    step = step.withColumn("_l", F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    step = step.withColumn("_l", F.filter(F.split(F.coalesce(F.col("_text"), F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     step = step.withColumn("_j", F.array_join("_w", ""))
-    step = step.withColumn("_n", F.size("_w")).withColumn(
+    step = step.withColumn("_n", F.size("_w")).withColumn("_b", F.length(F.bin(F.size("_w").cast("long"))))
+    step = step.withColumn(
         "_g",
         F.when(
             F.col("_n") >= 3,
             F.slice(F.transform("_w", lambda w, i: F.xxhash64(w, F.get("_w", i + 1), F.get("_w", i + 2))), F.lit(1), F.col("_n") - 2),
         ).otherwise(F.array().cast("array<bigint>")),
     )
-    step = step.withColumn("_s", F.sort_array(F.transform("_g", _packed)))
+    right, left = (lambda v, name=name: F.call_function(name, v, F.col("_b")) for name in ("shiftright", "shiftleft"))
+    low = left(F.lit(1).cast("long")) - 1
+    few = F.col("_n") <= _PACKED
+    none = F.array().cast("array<bigint>")
+    step = step.withColumn("_s", F.when(few, F.sort_array(F.transform("_g", lambda g, i: left(right(g)).bitwiseOR(i.cast("long"))))).otherwise(none))
+    pairs = F.transform("_g", lambda g, i: F.struct(g.alias("h"), i.cast("long").alias("i")))
+    step = step.withColumn("_x", F.when(few, F.array().cast("array<struct<h: bigint, i: bigint>>")).otherwise(F.sort_array(pairs)))
 
     def same(v: Column, other: Column) -> Column:
         at = lambda x: F.get("_g", x.bitwiseAND(low).cast("int"))
-        return (F.shiftright(v, _INDEX_BITS) == F.shiftright(other, _INDEX_BITS)) & (at(v) == at(other))
+        return F.coalesce((right(v) == right(other)) & (at(v) == at(other)), F.lit(False))
 
-    repeated = F.filter("_s", lambda v, k: F.coalesce(same(v, F.get("_s", k - 1)), F.lit(False)) | F.coalesce(same(v, F.get("_s", k + 1)), F.lit(False)))
-    step = step.withColumn("_p", F.sort_array(F.transform(repeated, lambda v: v.bitwiseAND(low))))
+    alike = lambda v, other: F.coalesce(v["h"] == other["h"], F.lit(False))
+    packed = F.filter("_s", lambda v, k: same(v, F.get("_s", k - 1)) | same(v, F.get("_s", k + 1)))
+    exact = F.filter("_x", lambda v, k: alike(v, F.get("_x", k - 1)) | alike(v, F.get("_x", k + 1)))
+    step = step.withColumn("_p", F.sort_array(F.concat(F.transform(packed, lambda v: v.bitwiseAND(low)), F.transform(exact, lambda v: v["i"]))))
     covered = F.aggregate(
         F.transform("_p", lambda v, k: F.least(F.lit(3).cast("long"), F.coalesce(F.get("_p", k + 1) - v, F.lit(3).cast("long")))),
         F.lit(0).cast("long"),
@@ -81,7 +89,7 @@ def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_lines": F.size("_l").cast("long"),
     }
     # a generator of one row: filters on the measures stay above it, where each is computed once
-    return step.select(*docs.columns, F.inline(F.array(F.struct(*(c.alias(k) for k, c in found.items())))))
+    return step.select("_docs.*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in found.items())))))
 
 
 def base_failed(rules: QualityRules) -> Column:
@@ -143,7 +151,7 @@ def fences(features: DataFrame, rules: QualityRules) -> DataFrame:
     )
 
 
-_ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_marks", "n_lines", "base_failed", "kept", "_t", "_w", "_l", "_j", "_n", "_g", "_s", "_p")
+_ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_marks", "n_lines", "base_failed", "kept")
 
 
 def _verdict(measured: DataFrame, limits: DataFrame, rules: QualityRules) -> DataFrame:
