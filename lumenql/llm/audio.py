@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenql.llm import kernel as K
-from lumenql.llm.shared import ship
+from lumenql.llm.shared import saved, ship
 
 
 @dataclass(frozen=True)
@@ -111,14 +111,16 @@ def _mel(bands: int, frame: int, rate: float) -> np.ndarray:
     return np.maximum(0, np.minimum((bins - low) / np.maximum(mid - low, 1e-9), (high - bins) / np.maximum(high - mid, 1e-9))) + 1e-6
 
 
-def log_mel(x: np.ndarray, rule: AudioRule) -> np.ndarray:
-    """Rows of overlapping frames: mel energies in thirty-seconds of a decade, as int16."""
+def log_mel(x: np.ndarray, rule: AudioRule, block: int = 1 << 13) -> np.ndarray:
+    """Rows of overlapping frames: mel energies in thirty-seconds of a decade, as int16; `block` frames at a time."""
     if len(x) < rule.frame:
         x = np.concatenate([x, np.zeros(rule.frame - len(x), x.dtype)])
-    frames = np.lib.stride_tricks.sliding_window_view(x, rule.frame)[:: rule.hop] * np.hanning(rule.frame)
-    power = np.abs(np.fft.rfft(frames, axis=1)) ** 2
-    energy = power @ _mel(rule.bands, rule.frame, rule.rate * rule.up / rule.down)
-    return np.round(32 * np.log10(energy + 1.0)).astype(np.int16)
+    frames = np.lib.stride_tricks.sliding_window_view(x, rule.frame)[:: rule.hop]
+    bank, window, out = _mel(rule.bands, rule.frame, rule.rate * rule.up / rule.down), np.hanning(rule.frame), []
+    for at in range(0, len(frames), block):
+        power = np.abs(np.fft.rfft(frames[at : at + block] * window, axis=1)) ** 2
+        out.append(np.round(32 * np.log10(power @ bank + 1.0)).astype(np.int16))
+    return np.concatenate(out)
 
 
 def segments(level: np.ndarray, on: int, off: int) -> list[tuple[int, int]]:
@@ -161,32 +163,74 @@ def read_tensors(blob: bytes) -> pa.Table:
         return stream.read_all()
 
 
-def _run(rule: AudioRule, with_media: bool):
+def _store(rule: AudioRule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(batches):
             data, ends = K.utf8(batch.column("text"))
+            media = [to_wav(payload_of(data[a:b].tobytes(), rule.pad), rule.rate) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            yield pa.record_batch([batch.column("doc_id"), pa.array(np.diff(ends)), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+
+    return run
+
+
+def clips(docs: DataFrame, rule: AudioRule = AudioRule()) -> DataFrame:
+    """(doc_id, n_bytes, media) of each row: the text's bytes as an 8-bit clip.  Null text is empty and makes a clip of `pad` zeros."""
+    ship(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_store(rule), "doc_id long, n_bytes long, media binary")
+
+
+_SPANS = pa.list_(pa.struct([("start_ms", pa.float64()), ("end_ms", pa.float64())]))
+
+
+def _analyse(rule: AudioRule):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in K.slices(batches, column="media"):
             rows = []
-            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                media = to_wav(payload_of(data[a:b].tobytes(), rule.pad), rule.rate)
+            for blob in batch.column("media"):
+                media = blob.as_py()
                 _, payload = from_wav(media)  # all that follows comes from the stored form
                 tensors, spans, found = features(payload, rule)
-                digest = hashlib.sha256(tensors.tobytes() + repr((spans, found)).encode()).hexdigest()[:32]
-                row = [b - a, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), f"{len(tensors)}x{rule.frames}x{rule.bands}:{len(found)}:{digest}"]
-                rows.append(row + ([media, tensor_bytes(tensors, spans), [{"start_ms": s, "end_ms": e} for s, e in found]] if with_media else []))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.list_(pa.struct([("start_ms", pa.float64()), ("end_ms", pa.float64())]))]
-            names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media", "tensors", "segments"]
-            columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=False)]
-            yield pa.record_batch([batch.column("doc_id"), *columns], names=["doc_id", *names[: len(columns)]])
+                row = [len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest()]
+                rows.append([*row, tensor_bytes(tensors, spans), [{"start_ms": s, "end_ms": e} for s, e in found]])
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), _SPANS)
+            names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "tensors", "segments")
+            columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.record_batch([batch.column("doc_id"), batch.column("n_bytes"), *columns], names=["doc_id", "n_bytes", *names])
 
     return run
 
 
-def media_features(docs: DataFrame, rule: AudioRule = AudioRule(), with_media: bool = True) -> DataFrame:
-    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature[, media, tensors, segments]) of each row.
+_MEASURED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
 
-    Null text is empty and makes a clip of `pad` zeros; rows keep their doc_id, null or repeated; other columns
-    aren't read.  One narrow pass: nothing is shuffled, a clip is in memory at a time."""
-    ship(docs.sparkSession)
-    ddl = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    ddl += ", media binary, tensors binary, segments array<struct<start_ms: double, end_ms: double>>" * with_media
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_run(rule, with_media), ddl)
+
+def media_features(media: DataFrame, rule: AudioRule = AudioRule()) -> DataFrame:
+    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, tensors, segments) of each row of clips().
+
+    `tensors` is an Arrow stream of fixed-shape tensors with their spans.  Rows keep their doc_id, null or repeated; an
+    empty table gives an empty one; other columns aren't read.  One narrow pass: nothing is shuffled, a clip is in memory at a time."""
+    ship(media.sparkSession)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(_analyse(rule), f"{_MEASURED}, tensors binary, segments array<struct<start_ms: double, end_ms: double>>")
+
+
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for blob, found in zip(batch.column("tensors"), batch.column("segments").to_pylist(), strict=True):
+            table = read_tensors(blob.as_buffer())
+            mel = table.column("mel").combine_chunks()
+            mel = mel.chunk(0) if isinstance(mel, pa.ChunkedArray) else mel
+            cells = mel.to_numpy_ndarray()
+            spans = list(zip(table.column("start_ms").to_pylist(), table.column("end_ms").to_pylist(), strict=True))
+            digest = hashlib.sha256(cells.tobytes() + repr((spans, [(f["start_ms"], f["end_ms"]) for f in found])).encode()).hexdigest()[:32]
+            out.append("x".join(map(str, cells.shape)) + f":{len(found)}:{digest}")
+        yield batch.drop_columns(["tensors", "segments"]).append_column("feature", pa.array(out, pa.string()))
+
+
+def digests(found: DataFrame) -> DataFrame:
+    """The table of media_features() with `feature`, a digest of the stored tensors, spans and segments, in their place."""
+    return found.mapInArrow(_digest, f"{_MEASURED}, feature string")
+
+
+def stored_features(docs: DataFrame, rule: AudioRule = AudioRule()) -> DataFrame:
+    """The table of media_features(), written to the shared folder as are the clips that it is computed from."""
+    return saved(media_features(saved(clips(docs, rule), "clips"), rule), "features")

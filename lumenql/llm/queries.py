@@ -29,7 +29,7 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.media_features(documents(spark, sf_dir), with_media=False)
+    return audio.digests(audio.stored_features(documents(spark, sf_dir)))
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
