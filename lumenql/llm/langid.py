@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenql.llm import kernel as K
-from lumenql.llm.shared import saved, ship
+from lumenql.llm.shared import saved, ship, summed
 
 CELLS = 1 << 14
 _UNIT = 1_000_000
@@ -28,6 +28,10 @@ _UNIT = 1_000_000
 SUFFIXES = {"fr": "fr", "de": "de", "at": "de", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl", "ru": "ru", "jp": "ja", "cn": "zh"}
 
 
+# Three-letter codes of languages that have one of two letters.
+SHORTER = {"eng": "en", "fra": "fr", "fre": "fr", "deu": "de", "ger": "de", "spa": "es", "ita": "it", "por": "pt", "nld": "nl", "dut": "nl", "pol": "pl", "rus": "ru", "jpn": "ja", "zho": "zh", "chi": "zh"}
+
+
 @dataclass(frozen=True)
 class Fusion:
     """How far declarations and suffixes are trusted, pages by which a host leans on its domain and a domain on the corpus,
@@ -52,42 +56,82 @@ def _trigrams(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
+
+    def flush() -> pa.RecordBatch:
+        out = pa.record_batch([pa.array(list(total), pa.string()), pa.array([v.astype(np.int64).tobytes() for v in total.values()], pa.binary())], names=["key", "counts"])
+        total.clear()
+        return out
+
     for batch in K.slices(batches):
         langs = batch.column("lang").to_pylist()
         cell, row = _trigrams(*K.utf8(batch.column("text")))
         names = sorted(set(langs))
-        of = np.array([names.index(x) for x in langs])
-        for i, name in enumerate(names):
-            total[name] = total.get(name, 0) + np.bincount(cell[of[row] == i], minlength=CELLS)
-    yield pa.record_batch([pa.array(list(total), pa.string()), pa.array([v.astype(np.int64).tobytes() for v in total.values()], pa.binary())], names=["lang", "counts"])
+        place = {x: i for i, x in enumerate(names)}
+        of = np.array([place[x] for x in langs])[row]
+        order, begin = K.grouped(of)
+        for a, b in zip(begin[:-1], begin[1:], strict=True):
+            name = names[of[order[a]]]
+            total[name] = total.get(name, 0) + np.bincount(cell[order[a:b]], minlength=CELLS)
+            if len(total) >= 256:
+                yield flush()
+    yield flush()
 
 
-def _add(table: pa.Table) -> pa.Table:
-    total = np.sum([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("counts")], axis=0)
-    return pa.table({"lang": table.column("lang")[:1].combine_chunks(), "counts": pa.array([total.tobytes()], pa.binary())})
+#: Languages whose models the driver and each worker hold, CELLS numbers each.
+MOST = 4096
 
 
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """(languages, log probabilities of cells) from all documents with a language; CELLS numbers for each of them."""
+    """(languages, log probabilities of cells) from all documents with a language; CELLS numbers for each of them.
+
+    More than MOST different values of lang are no languages: an error, none is left out."""
     ship(docs.sparkSession)
     some = docs.where("lang is not null and text is not null").select("lang", "text")
     # one row of CELLS counts for each language and task before the shuffle
-    rows = some.mapInArrow(_count, "lang string, counts binary").groupBy("lang").applyInArrow(_add, "lang string, counts binary")
-    rows = rows.orderBy("lang").collect()
+    rows = saved(summed(saved(some.mapInArrow(_count, "key string, counts binary"), "ztrigrams"), "string"), "ztrained")
+    if rows.count() > MOST:
+        raise ValueError(f"more than {MOST} values of lang")
+    rows = rows.orderBy("key").collect()
     if not rows:
         return ["und"], np.zeros((1, CELLS))
     counts = np.stack([np.frombuffer(r.counts, np.int64) for r in rows]).astype(float) + 0.5
-    return [r.lang for r in rows], np.log(counts / counts.sum(axis=1, keepdims=True))
+    return [r.key for r in rows], np.log(counts / counts.sum(axis=1, keepdims=True))
 
 
-_HIDDEN = re.compile(r"<(script|style|noscript|nav)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
+_OPENS = re.compile(r"<(?:(script|style|noscript|nav)\b|!--)", re.I)
+_CLOSES = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "noscript", "nav")}
 _TAG = re.compile(r"<[^>]*>")
-_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})", re.I)
+_HTML = re.compile(r"<html\b[^>]*", re.I)
+_LANG = re.compile(r"\blang\s*=\s*[\"']?\s*([A-Za-z]{2,8})", re.I)
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", re.I)
 
 
 def visible(page: str) -> str:
-    return markup.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", page)))
+    """Text outside of tags, comments, scripts, styles and navigation.  What isn't closed is text.
+
+    Each search goes on where the last ended, and what has no end is looked for once, so time is linear in the page."""
+    parts, at, unclosed = [], 0, set()
+    for m in _OPENS.finditer(page):
+        name = (m[1] or "--").lower()
+        if m.start() < at or name in unclosed:
+            continue
+        close = _CLOSES[name].search(page, m.end()) if m[1] else None
+        end = close.end() if close else page.find("-->", m.end()) + 3 if not m[1] else 0
+        if end < m.end():
+            unclosed.add(name)
+            continue
+        parts.append(page[at : m.start()])
+        at = end
+    rest = " ".join([*parts, page[at:]])
+    tags = rest.rfind(">") + 1  # no tag ends behind it
+    return markup.unescape(_TAG.sub(" ", rest[:tags]) + rest[tags:])
+
+
+def declared_in(page: str) -> str | None:
+    """The language of the <html> tag: its primary code, of two letters if it has such a one."""
+    tag = _HTML.search(page)
+    said = _LANG.search(tag[0]) if tag else None
+    return SHORTER.get(said[1].lower(), said[1].lower()) if said else None
 
 
 def host_of(url: str | None) -> tuple[str | None, str | None, str | None]:
@@ -126,7 +170,7 @@ def _evidence(languages: list[str], shared, rule: Fusion):
             n = np.bincount(row, minlength=len(pages)).astype(float)
             sums = np.stack([np.bincount(row, weights=model[cell, k], minlength=len(pages)) for k in range(len(languages))], axis=1)
             text = sums * (np.minimum(n, rule.effective) / np.maximum(n, 1))[:, None]
-            said = [m[1].lower()[:2] if (m := _DECLARED.search(p)) else None for p in pages]
+            said = [declared_in(p) for p in pages]
             hosts = [host_of(u) for u in batch.column("url").to_pylist()]
             own = text + _lean(languages, said, rule.declared)
             whole = own + _lean(languages, [SUFFIXES.get(h[2]) for h in hosts], rule.suffix)
