@@ -1,7 +1,8 @@
 """Licence scan by Dice coefficient over word bigrams.
 
 Text is normalised to lower-cased words without ASCII punctuation.  Lines, paragraphs and the whole text are
-the passages.  For a passage of n bigrams and a template of m, Dice can reach t only if
+the passages, and windows of each template's size wherever they stand: a window begins at one of the
+template's bigrams, and its hits, counted from their sorted places, bound its coefficient.  For a passage of n bigrams and a template of m, Dice can reach t only if
 t / (2 - t) <= n / m <= (2 - t) / t, and the passage has at least t / 2 * (n + m) bigrams that some template
 has; what these bounds leave is compared exactly.
 """
@@ -84,6 +85,8 @@ class _Bigrams:
     def __init__(self, data: np.ndarray, ends: np.ndarray):
         hashes, self.starts, self.stops, self.first = K.words(_PLAIN[data], ends)
         self.pairs = K.mix(hashes[:-1] * K._SLOT[1] + hashes[1:] * K._SLOT[2]) if len(hashes) else hashes
+        # pairs across the end of a text belong to none
+        self.pairs[self.first[(self.first > 0) & (self.first < len(hashes))] - 1] = 0
 
 
 def dice(a: Counter, b: Counter) -> float:
@@ -104,11 +107,14 @@ class Scanner:
         self.bags = found
         self.sizes = np.array([b.total() for _, b in found])
         self.known = np.unique(np.array([p for _, b in found for p in b], np.uint64))
+        self.parts = [np.array(sorted(b), np.uint64) for _, b in found]
 
     def passages(self, data: np.ndarray, ends: np.ndarray, b: _Bigrams) -> tuple[np.ndarray, np.ndarray]:
         """(from word, to word) of all lines, paragraphs and whole texts, without repeats."""
         at = np.flatnonzero(data == 0x0A)
-        blank = at[:-1][np.diff(at) == 1] if len(at) > 1 else at[:0]
+        # a line of white space alone parts paragraphs
+        ink = np.concatenate([[0], np.cumsum(~K.SEPARATOR[data])])
+        blank = at[:-1][ink[at[1:]] == ink[at[:-1]]] if len(at) > 1 else at[:0]
         out = []
         for cuts in (at, blank, at[:0]):
             edges = np.unique(np.concatenate([ends, cuts]))
@@ -129,7 +135,7 @@ class Scanner:
         least = np.searchsorted(self.sizes, n * self.low - 1e-9)
         smallest = self.sizes[np.minimum(least, len(self.sizes) - 1)]
         maybe = (n > 0) & (least < len(self.sizes)) & (hits + 1e-9 >= self.rule.threshold / 2 * (n + smallest))
-        out = []
+        out: list[tuple[int, str, float, int, int]] = []
         for i in np.flatnonzero(maybe):
             bag = Counter(b.pairs[start[i] : stop[i] - 1].tolist())
             fit = [(dice(bag, self.bags[k][1]), self.bags[k][0]) for k in range(least[i], int(np.searchsorted(self.sizes, n[i] * self.high + 1e-9, "right")))]
@@ -138,13 +144,55 @@ class Scanner:
                 out.append((text, best[1], best[0], int(b.starts[start[i]] - ends[text]), int(b.stops[stop[i] - 1] - ends[text])))
         return out
 
+    def matches(self, data: np.ndarray, ends: np.ndarray) -> list[tuple[int, str, float, int, int]]:
+        """scan(), and windows where no passage matches."""
+        out = self.scan(data, ends)
+        taken: dict[int, list[tuple[int, int]]] = {}
+        for text, _, _, x, y in out:
+            taken.setdefault(text, []).append((x, y))
+        for match in sorted(self.windows(_Bigrams(data, ends), ends), key=lambda m: (-m[2], m[1], m[0], m[3])):
+            spans = taken.setdefault(match[0], [])
+            if all(match[4] <= x or y <= match[3] for x, y in spans):
+                spans.append(match[3:])
+                out.append(match)
+        return sorted(out)
+
+    def windows(self, b: _Bigrams, ends: np.ndarray) -> list[tuple[int, str, float, int, int]]:
+        """The same of windows of templates' sizes, of those that overlap for a template the best."""
+        hit = np.flatnonzero(np.isin(b.pairs, self.known))
+        if not len(hit):
+            return []
+        pairs, text = b.pairs[hit], np.searchsorted(ends, b.starts[hit], "right") - 1
+        out = []
+        for (name, bag), part, size in zip(self.bags, self.parts, self.sizes.tolist(), strict=True):
+            own = np.isin(pairs, part)
+            at, of = hit[own], text[own]
+            if not len(at):
+                continue
+            stop = np.minimum(at + size, b.first[of + 1] - 1)
+            many = np.searchsorted(at, stop) - np.arange(len(at))
+            best: tuple | None = None
+            for i in np.flatnonzero(2 * many + 1e-9 >= self.rule.threshold * (size + (stop - at))):
+                last = int(at[np.searchsorted(at, stop[i]) - 1])
+                score = dice(Counter(b.pairs[at[i] : last + 1].tolist()), bag)
+                if score < self.rule.threshold:
+                    continue
+                t = int(of[i])
+                found = (t, name, score, int(b.starts[at[i]] - ends[t]), int(b.stops[last + 1] - ends[t]))
+                if best and (best[0] != t or best[4] <= found[3]):
+                    out.append(best)
+                    best = None
+                best = found if best is None or found[2] > best[2] else best
+            out += [best] if best else []
+        return out
+
 
 def _run(rule: LicenceScan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(rule)
         for batch in K.slices(batches):
             found: dict[int, list[tuple]] = {}
-            for text, *match in scanner.scan(*K.utf8(batch.column("text"))):
+            for text, *match in scanner.matches(*K.utf8(batch.column("text"))):
                 found.setdefault(text, []).append(tuple(match))
             best = [min(found[i], key=lambda m: (-m[1], m[0], m[2])) if i in found else (None, None) for i in range(batch.num_rows)]
             spans = [[{"licence": m[0], "dice": m[1], "start_byte": m[2], "end_byte": m[3]} for m in found.get(i, [])] for i in range(batch.num_rows)]
