@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lumenql.llm import kernel as K
 from lumenql.llm.pieces import PieceTable, spaced_pieces
-from lumenql.llm.shared import saved, ship
+from lumenql.llm.shared import bounded_buckets, saved, ship, text_bytes
 
 #: White space beyond ASCII and controls that libraries class differently, and a special token's sign: such texts aren't cut.
 _ODD = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|<\|"
@@ -255,12 +255,19 @@ def _write(path: str, rule: RePair, end_id: int):
     return run
 
 
-def write_shards(docs: DataFrame, path: str, rule: RePair = RePair(), end_id: int = 0) -> DataFrame:
-    """The written table of shards, in order of (doc_id, text), null doc_ids first: (part, before, n_ids, doc_ids, nulls, shard)."""
+def write_shards(docs: DataFrame, path: str, rule: RePair = RePair(), end_id: int = 0, where: str | None = None) -> DataFrame:
+    """The written table of shards, in order of doc_id, those of one doc_id by a hash of their text, null doc_ids first: (part, before, n_ids, doc_ids, nulls, shard).
+
+    `where` is the folder that keeps it; without one it is an intermediate that goes with the session."""
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return saved(ordered.mapInArrow(_write(path, rule, end_id), _SHARD), "zrepair")
+    parts = bounded_buckets(text_bytes(docs), 64 << 20, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = docs.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    shards = ordered.mapInArrow(_write(path, rule, end_id), _SHARD)
+    if where is None:
+        return saved(shards, "zrepair")
+    shards.write.option("compression", "zstd").parquet(where)
+    return docs.sparkSession.read.schema(shards.schema).parquet(where)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
