@@ -4,7 +4,8 @@ The words of all texts are counted; the most frequent ones, with the ids the mer
 are compiled into a minimal acyclic automaton: states with the same right language are one, so
 suffixes are shared, and each word's number - the count of accepted words before it - leads to its
 ids.  Executors memory-map the compiled bytes.  Words outside are merged by the vocabulary's ranks,
-exactly.  Texts with characters on whose classes libraries might differ go through the tokenizer itself.
+exactly.  Only a piece between white space that has a character on whose class or normal form libraries might
+differ goes through the tokenizer itself, the rest of its text does not.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,9 +32,14 @@ from lumenql.llm.shared import saved, ship
 
 #: Fixed values of the tokenizer file: its word pattern.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: What a plain text doesn't have (RE2): controls and spaces that libraries class differently, a letter whose lower case is two,
-#: characters past Latin but for common punctuation, a special token's sign.
-_ODD = r"[^\x00-\x1b\x20-\x{84}\x{86}-\x{9f}\x{a1}-\x{12f}\x{131}-\x{24f}\x{2010}-\x{2027}\x{2030}-\x{203a}\x{20ac}]|<\|"
+#: What a plain piece doesn't have: controls and spaces that libraries class differently, letters whose lower case is two or
+#: depends on what follows, characters with other normal forms, scripts but Latin, Greek, Cyrillic, Hebrew and Arabic letters,
+#: kana, Han and Hangul syllables, and a special token's sign.
+ODD = regex.compile(
+    "[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-\u012f\u0131-\u024f\u0391-\u03a1\u03a4-\u03c9\u0410-\u044f\u0451-\u045f"
+    "\u05d0-\u05ea\u0627-\u063a\u0641-\u064a\u2010-\u2027\u2030-\u203a\u20ac\u3001-\u3003\u3008-\u3011"
+    "\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]|<[|]"
+)
 
 
 @dataclass(frozen=True)
@@ -58,12 +63,13 @@ class Merger:
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        model = whole["model"]
         self.vocab: dict[str, int] = model["vocab"]
         pairs = (tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"])
         self.rank = {p: i for i, p in enumerate(pairs)}
         self.end = model.get("end_of_word_suffix") or ""
-        self.tokens = {i: t for t, i in self.vocab.items()}
+        self.tokens = {i: t for t, i in self.vocab.items()} | {t["id"]: t["content"] for t in whole.get("added_tokens") or ()}
         self.letters = _byte_letters()
 
     def ids(self, word: str) -> list[int]:
@@ -212,9 +218,12 @@ class Encoder:
         many, shown, sizes = [], [], []
         for piece in pieces:
             own: list[int] = []
-            for word in WORD.findall(piece):
-                found = find(word)
-                own += merge(word) if found is None else found
+            if ODD.search(piece):
+                own = self.library.encode(piece, add_special_tokens=False).ids
+            else:
+                for word in WORD.findall(piece.lower()):
+                    found = find(word)
+                    own += merge(word) if found is None else found
             ids += own
             many.append(len(own))
             text = "".join([tokens[i] + " " for i in own]).encode()
@@ -224,10 +233,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> list[tuple[np.ndarray, bytes]]:
         """(ids as little-endian 32-bit integers, the decoded text in UTF-8) of each text."""
-        texts = texts.fill_null("")
-        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
-        plain = pc.utf8_lower(pc.if_else(pa.array(odd), "", texts) if odd.any() else texts)
-        data, ends = K.utf8(plain)
+        data, ends = K.utf8(texts)
         hashes, starts, stops, first = word_pieces(data, ends)
         if len(hashes):
             slots = self.table.slots_of(hashes, data, starts, stops)
@@ -237,11 +243,7 @@ class Encoder:
             ids, shown, id_ends, shown_ends = np.zeros(0, "<u4"), np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(1, np.int64)
         a, b = id_ends[first].tolist(), shown_ends[first].tolist()
         raw = shown.tobytes()
-        out = [(ids[a[i] : a[i + 1]], raw[b[i] : max(b[i], b[i + 1] - 1)]) for i in range(len(ends) - 1)]
-        for i in np.flatnonzero(odd):
-            own = self.library.encode(texts[int(i)].as_py(), add_special_tokens=False).ids
-            out[i] = (np.array(own, "<u4"), self.library.decode(own, skip_special_tokens=False).encode())
-        return out
+        return [(ids[a[i] : a[i + 1]], raw[b[i] : max(b[i], b[i + 1] - 1)]) for i in range(len(ends) - 1)]
 
 
 @lru_cache(1)
@@ -267,22 +269,23 @@ def _count(rule: Lexicon):
         def flush() -> pa.RecordBatch:
             words: Counter[str] = Counter()
             for piece, n in held.items():
-                for w in WORD.findall(piece):
+                for w in WORD.findall(piece.lower()):
                     words[w] += n
             held.clear()
             kept = [(w, n) for w, n in words.items() if len(w.encode()) <= rule.longest]
             return pa.record_batch([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
 
         for batch in K.slices(batches, 4 << 20):
-            texts = batch.column("text").fill_null("")
-            plain = pc.utf8_lower(pc.if_else(pc.match_substring_regex(texts, _ODD), "", texts))
-            data, ends = K.utf8(plain)
+            data, ends = K.utf8(batch.column("text"))
             hashes, starts, stops, _ = word_pieces(data, ends)
             _, place, many = np.unique(hashes, return_index=True, return_counts=True)
             raw = data.tobytes()
             for a, b, n in zip(starts[place].tolist(), stops[place].tolist(), many.tolist(), strict=True):
                 piece = raw[a:b].decode()
-                held[piece] = held.get(piece, 0) + n
+                if piece in held:
+                    held[piece] += n
+                elif not ODD.search(piece):
+                    held[piece] = n
             if len(held) > 250_000:
                 yield flush()
         yield flush()
