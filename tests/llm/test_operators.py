@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -348,7 +349,8 @@ def test_recall_of_fuzzy_passages(spark):
 
 
 def test_audio(docs, empty):
-    got = {r.doc_id: r for r in audio.media_features(docs).collect()}
+    stored = audio.stored_features(docs)
+    got = {r.doc_id: r for r in audio.digests(stored).join(stored.select("doc_id", "tensors"), "doc_id").join(audio.clips(docs).select("doc_id", "media"), "doc_id").collect()}
     for d, t, *_ in ROWS:
         data = (t or "").encode()
         payload = data + bytes(max(64, -(-len(data) // 64) * 64) - len(data))
@@ -360,7 +362,7 @@ def test_audio(docs, empty):
     same = {}
     for d, t, *_ in ROWS:
         assert same.setdefault(t or "", got[d].feature) == got[d].feature
-    assert audio.media_features(empty).count() == 0
+    assert audio.digests(audio.stored_features(empty)).count() == 0
 
 
 def test_resampling_keeps_a_tone():
@@ -520,3 +522,117 @@ def test_pipeline(docs, spark):
         assert not runs & seen
         seen |= runs
     assert P.STAGES[-1][1](spark, now, "").count() == counts[-1]
+
+
+# hard rows: ties, null and repeated ids, long texts, names that clash
+
+
+def test_mixing_ties_and_null_ids(spark):
+    repeated = [(7, "a b c d e f g h i j k l m n o p q r s t", None, "x")] * 100
+    nameless = [(None, f"w{i} b c d e f g h i j", None, "y") for i in range(100)]
+    blank = [(i, "", None, "z") for i in range(1000, 1005)] + [(2000, "one two", None, "z")]
+    got = mixing.mixed(frame(spark, repeated + nameless + blank), mixing.size_of(), mixing.quality_of()).collect()
+    for name, size in (("x", 20), ("y", 10), ("z", 2)):
+        rows = [r for r in got if r.source == name]
+        assert abs(sum(r.taken for r in rows) - rows[0].target) <= size / 2 and max(r.copies for r in rows) <= 2
+    assert len(got) == 206 and len({r.text for r in got if r.source == "y" and r.copies == 2}) < 100
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    rows = frame(spark, [(1, "a b", None, "s"), (2, None, None, None)]).withColumnRenamed("lang", "la.ng").withColumnRenamed("word", "_key").withColumnRenamed("block", "_at")
+    got = mixing.mixed(rows, mixing.size_of(), mixing.quality_of())
+    assert set(rows.columns) - {"size"} < set(got.columns) and got.count() == 2
+    assert mixing.mix_sources(rows).columns == rows.columns and mixing.mix_sources(rows).count() >= 1
+
+
+def test_quality_of_a_long_text(spark):
+    """Beyond the length up to which hashes and places are packed."""
+    rng = random.Random(3)
+    long = " ".join(f"w{rng.randrange(60)}" for _ in range(70_000))
+    rows = [(1, long, "en", "s"), (1, long[:5000], "en", "s"), (None, "a b a b a b", None, None)]
+    found = quality.with_features(frame(spark, rows).drop("n_words").withColumnRenamed("_spans", "x.y")).collect()
+    assert sorted((r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in found) == sorted(features(t) for _, t, *_ in rows)
+
+
+def test_bpe_of_other_scripts(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizer("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["Привет МИР привет", "γειά ΣΟΥ κόσμε", "日本語 テキスト です 日本語", "한국어 텍스트", "שלום עולם", "plain e\u0301 combined \u00a0x y", "İstanbul ΌΔΟΣ a<|endoftext|>b", "😀 fun", None, ""]
+    assert not any(lexicon.ODD.search(w) for t in (texts[0], *texts[2:5]) for w in t.split())
+    rows = [(i % 4 or None, t, None, None) for i, t in enumerate(texts)]
+    got = lexicon.encoded(frame(spark, rows), path, lexicon.Lexicon(words=30)).collect()
+    ids = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert sorted((r.ids, r.decoded) for r in got) == sorted((i, library.decode(i, skip_special_tokens=False)) for i in ids)
+
+
+def test_token_files_are_kept_where_they_are_asked_for(spark, tmp_path):
+    rows = [(None, "b", None, None), (5, "a a a", None, None), (5, "c", None, None), (1, None, None, None)]
+    repair.write_shards(frame(spark, rows), tokenizer("byte_bpe_50k.json"), where=f"file://{tmp_path}/shards")
+    got = repair.read_shards(spark.read.parquet(f"file://{tmp_path}/shards")).collect()
+    assert sorted((r.doc_id or 0) for r in got) == [0, 1, 5, 5] and min(got, key=lambda r: r.start).doc_id is None
+    assert sum(r.n_tokens for r in got) == max(r.start + r.n_tokens for r in got)
+
+
+def test_licences_within_other_text(spark):
+    bsd = next(t for n, t in licences.TEMPLATES if n == "BSD-2-Clause")
+    cut = bsd.index("Redistributions of"), bsd.index("Redistributions in")
+    parted = "\r\n \r\n".join(["intro words here", bsd[: cut[0]], "1. " + bsd[cut[0] : cut[1]], "2. " + bsd[cut[1] :], "and more text"])
+    rows = [(1, "Copyright 2020 Foo Ltd. Licensed under the Apache License, Version 2.0.", None, None), (2, parted, None, None), (2, "Released under the MIT License. See LICENSE for details.", None, None), (None, "nothing at all of that kind", None, None)]
+    got = sorted((r.doc_id or 0, r.licence or "", r.n_matches) for r in licences.licences(frame(spark, rows)).collect())
+    assert got == [(0, "", 0), (1, "Apache-2.0", 1), (2, "BSD-2-Clause", 1), (2, "MIT", 1)]
+
+
+def test_licence_windows_lose_none():
+    """Every window of a template's size, by brute force: where one matches, a match of the text covers it."""
+    rng = random.Random(19)
+    scanner = licences.Scanner(licences.LicenceScan(threshold=0.8))
+    for _ in range(6):
+        parts = []
+        for name, t in rng.sample(licences.TEMPLATES, 3):
+            w = t.split()
+            w[rng.randrange(len(w))] = "other"
+            parts += [f"x{rng.randrange(99)}" for _ in range(rng.randint(0, 12))] + w
+        data, ends = kernel.utf8(pa.array([" ".join(parts), "tail of another"]))
+        b = licences._Bigrams(data, ends)
+        found = scanner.windows(b, ends)
+        for name, bag in scanner.bags:
+            m = bag.total()
+            for i in range(max(0, b.first[1] - m)):
+                value = licences.dice(licences.Counter(b.pairs[i : i + m].tolist()), bag)
+                if value >= 0.8:
+                    assert any(n == name and v >= value - 1e-9 and x < b.stops[i + m] and b.starts[i] < y for _, n, v, x, y in found)
+
+
+def test_codes_and_hostile_pages(spark):
+    assert [langid.declared_in(f"<HTML dir=ltr lang='{c}'>") for c in ("fil", "en-GB", "deu", "xyz")] == ["fil", "en", "de", "xyz"] and langid.declared_in("<html><p lang=fr>") is None
+    assert langid.visible("a<script>x</script>b<!-- c -->d<nav >e</NAV>f<style>g").split() == ["a", "b", "d", "f", "g"]
+    for unit in ("<nav ", "<html ", "<", "<!--", "<script>", "lang= "):
+        page = unit * (1_000_000 // len(unit))
+        began = time.perf_counter()
+        langid.visible(page), langid.declared_in(page)
+        assert time.perf_counter() - began < 5, unit
+    pages = spark.createDataFrame([(1, "http://a.ph/", "<html lang=fil><p>zzz"), (1, None, None), (None, "x", "")], "page_id long, url string, html string")
+    labelled = frame(spark, [(1, "the quick brown fox", "en", None), (2, "nopea kettu hyppää", "fi", None)])
+    assert sorted(str(r.page_id) for r in langid.identify(pages, labelled).collect()) == ["1", "1", "None"]
+
+
+def test_repeated_and_null_ids_elsewhere(spark):
+    rows = [(None, "z" * 60, None, None), (4, "y" * 80, None, None), (4, "y" * 80, None, None), (9, "y" * 55 + "q", None, None)]
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in suffix_dedup.without_repeats(frame(spark, rows)).collect())
+    assert got == [(0, 60, 0), (4, 80, 0), (4, 80, 0), (9, 56, 55)]
+    stored = audio.digests(audio.stored_features(frame(spark, rows))).collect()
+    assert sorted((r.doc_id or 0, r.n_bytes) for r in stored) == [(0, 60), (4, 80), (4, 80), (9, 56)]
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(None, passage, None, None), (4, passage, None, None), (4, passage, None, None), (9, "x y " + passage, None, None)]
+    assert {(r.doc_id, r.source_id) for r in chaining.passages(frame(spark, rows)).collect()} == {(9, 4)}
+
+
+def test_log_mel_by_blocks():
+    rng = np.random.default_rng(2)
+    x = rng.integers(-500, 500, 5000).astype(np.int32)
+    rule = audio.AudioRule()
+    assert np.array_equal(audio.log_mel(x, rule, 7), audio.log_mel(x, rule))
+    slow = [np.round(32 * np.log10(np.abs(np.fft.rfft(x[a : a + rule.frame] * np.hanning(rule.frame))) ** 2 @ audio._mel(rule.bands, rule.frame, rule.rate * rule.up / rule.down) + 1.0)) for a in range(0, len(x) - rule.frame + 1, rule.hop)]
+    assert np.abs(audio.log_mel(x, rule) - np.array(slow)).max() <= 1
