@@ -6,12 +6,13 @@ Triggers cut a text into *phrases*; a phrase carries all windows that share its
 their bytes, so phrases overlap and none is a prefix of another.
 
 * Dictionary: distinct phrases, each with the smallest document it is in.  Highly repetitive text
-  has few; copies of a phrase are settled by its fingerprint alone.
+  has few; copies of a phrase are settled by the fingerprints of phrase and trigger, over 100 bits together.
 * Parse: each document as its sequence of phrases; what the dictionary says of a phrase goes to
   every place of it in the parse.
-* Suffixes of dictionary phrases need comparing only between phrases with the same trigger, and
-  only to depth `length`.  Their classes at that depth are formed by fingerprints instead of full
-  lexicographic ranks, which this rule doesn't use; a class in order of doc_id gives the first place.
+* Suffixes: phrases that share their trigger with another phrase travel with their bytes.  A key range of triggers
+  sorts the suffixes of its phrases by prefix doubling, to the depth `length` that the rule asks for, so
+  neighbours in the suffix array that are equal to that depth are equal byte for byte.  A run of them in the order of
+  the parse, by doc_id, gives the first place.
 
 The texts are dealt into blocks once; three passes read that one exchange.  What leaves a block is
 already reduced to distinct phrases, so a phrase that a third of all documents share reaches
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenql.llm import kernel as K
-from lumenql.llm.shared import bounded_buckets, dealt, ship, text_bytes, unpack_all
+from lumenql.llm.shared import bounded_buckets, dealt, pack, ship, text_bytes, unpack_all
 
 _LARGEST = np.iinfo(np.int64).max
 
@@ -136,11 +137,18 @@ def _table(answers: list[tuple[int, int, bytes]]) -> pa.Table:
 def _merge_dictionaries(table: pa.Table) -> pa.Table:
     """Which phrases an earlier document of another block has (kind 0), and which first places share a trigger with another phrase (kind 1)."""
     (trigger, phrase, doc), row = unpack_all(table.column("rows"), "u4", "u8", "i8")
+    if not len(phrase):
+        return _table([])
     blocks = table.column("block").to_numpy()
-    known, at, least = _least(phrase, doc)
-    _, place, many = np.unique(trigger[at], return_inverse=True, return_counts=True)
+    order = np.lexsort((phrase, trigger))
+    t, p = trigger[order], phrase[order]
+    new = np.concatenate([[True], (t[1:] != t[:-1]) | (p[1:] != p[:-1])])
+    begin = np.flatnonzero(new)
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(new) - 1
+    least = np.minimum.reduceat(doc[order], begin)
+    _, place, many = np.unique(t[begin], return_inverse=True, return_counts=True)
     shared = many[place] > 1
-    of = np.searchsorted(known, phrase)
     later = doc > least[of]
     first = ~later & shared[of]
     return _table(_answers(blocks, row[later], 0, phrase[later]) + _answers(blocks, row[first], 1, phrase[first]))
@@ -159,33 +167,72 @@ def _local_first(parses: list[_Parse]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _suffixes(rule: SuffixDedup, buckets: int):
-    """Pass 2: depth-`length` prefixes of the suffixes of phrases that share a trigger."""
+    """Pass 2: the phrases of a block that share a trigger, once each, with their bytes and first document."""
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         shared = _keys(answers, 1)
         if not texts.num_rows or not len(shared):
             return _sent(0, [])
-        found, firsts = [], {}
-        for p in _parses(texts, rule):
-            which = np.flatnonzero(_in(p.phrase, shared))
-            hashes, _, docs = p.windows(which, rule.length)
-            many = (p.hi - p.lo)[which]
-            found.append((np.repeat(p.phrase[which], many), hashes, docs))
-        phrase, hashes, docs = (np.concatenate(x) for x in zip(*found, strict=True))
-        known, _, least = _least(phrase, docs)
-        keep = docs == _first_doc(phrase, known, least)
-        hashes, _, docs = _least(hashes[keep], docs[keep])
-        return _sent(texts.column("block")[0].as_py(), list(dealt(hashes, buckets, hashes, docs)))
+        parses = list(_parses(texts, rule))
+        chosen = [np.flatnonzero(_in(p.phrase, shared)) for p in parses]
+        of = np.repeat(np.arange(len(parses)), [len(c) for c in chosen])
+        phrase, doc, trigger, lo, hi = (np.concatenate([getattr(p, name)[c] for p, c in zip(parses, chosen, strict=True)]) for name in ("phrase", "doc", "trigger", "lo", "hi"))
+        order = np.lexsort((doc, phrase))
+        once = order[np.concatenate([[True], phrase[order][1:] != phrase[order][:-1]])] if len(order) else order
+        bucket = (trigger[once] % np.uint64(buckets)).astype(np.int64)
+        by, cut = K.grouped(bucket)
+        out = []
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            i = once[by[a:b]]
+            size = hi[i] - lo[i] - 1 + rule.length
+            raw = b"".join(parses[k].data[x : x + n].tobytes() for k, x, n in zip(of[i].tolist(), lo[i].tolist(), size.tolist(), strict=True))
+            out.append((int(bucket[by[a]]), len(i).to_bytes(4, "little") + pack(doc[i].astype("<i8")) + pack(size.astype("<u4")) + raw))
+        return _sent(texts.column("block")[0].as_py(), out)
 
     return run
 
 
-def _merge_suffixes(table: pa.Table) -> pa.Table:
-    """Windows that an earlier document of another block has (kind 2)."""
-    (hashes, doc), row = unpack_all(table.column("rows"), "u8", "i8")
-    known, _, least = _least(hashes, doc)
-    later = doc > least[np.searchsorted(known, hashes)]
-    return _table(_answers(table.column("block").to_numpy(), row[later], 2, hashes[later]))
+def suffix_ranks(data: np.ndarray, start: np.ndarray, depth: int) -> np.ndarray:
+    """For each start the rank of its suffix among all, compared to `depth` bytes (8 at least): by prefix doubling, in lexicographic order."""
+    padded = np.concatenate([data, np.zeros(depth, np.uint8)])
+    key = np.zeros(len(data), np.uint64)
+    for k in range(8):
+        key = (key << np.uint64(8)) | padded[k : k + len(data)]
+    rank, have = np.unique(key, return_inverse=True)[1], 8
+    while 2 * have <= depth:
+        ahead = np.concatenate([rank[have:], np.zeros(have, rank.dtype)])
+        rank, have = np.unique(rank * (int(rank.max(initial=0)) + 1) + ahead, return_inverse=True)[1], 2 * have
+    return np.unique(rank[start] * (int(rank.max(initial=0)) + 1) + rank[start + (depth - have)], return_inverse=True)[1]
+
+
+def _merge_suffixes(rule: SuffixDedup):
+    """Windows that an earlier document of another block has (kind 2), from the suffix array of a bucket's phrases."""
+
+    def run(table: pa.Table) -> pa.Table:
+        docs, sizes, rows, raw = [], [], [], []
+        for r, x in enumerate(table.column("rows")):
+            blob = memoryview(x.as_buffer())
+            n = int.from_bytes(blob[:4], "little")
+            docs.append(np.frombuffer(blob, "<i8", n, 4))
+            sizes.append(np.frombuffer(blob, "<u4", n, 4 + 8 * n))
+            raw.append(np.frombuffer(blob, np.uint8, -1, 4 + 12 * n))
+            rows.append(np.full(n, r))
+        doc, size, row, data = np.concatenate(docs), np.concatenate(sizes).astype(np.int64), np.concatenate(rows), np.concatenate(raw)
+        many = size - rule.length + 1
+        at = np.repeat(np.cumsum(size) - size, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        rank = suffix_ranks(data, at, rule.length)
+        doc, row = np.repeat(doc, many), np.repeat(row, many)
+        # of each block the first document of a run of equal suffixes, and of all
+        own, spot, of = np.unique(rank * table.num_rows + row, return_index=True, return_inverse=True)
+        first = np.full(len(own), _LARGEST)
+        np.minimum.at(first, of, doc)
+        least = np.full(int(rank.max(initial=-1)) + 1, _LARGEST)
+        np.minimum.at(least, rank[spot], first)
+        later = spot[first > least[rank[spot]]]
+        names = K.Ranges(data).of(at[later], at[later] + rule.length)
+        return _table(_answers(table.column("block").to_numpy(), row[later], 2, names))
+
+    return run
 
 
 def _remove(rule: SuffixDedup, with_text: bool):
@@ -259,8 +306,8 @@ def without_repeats(docs: DataFrame, rule: SuffixDedup = SuffixDedup(), with_tex
     texts = docs.withColumn("block", block).repartition(parts, "block")
     by_block = lambda df: df.groupBy("block")
     phrases = by_block(texts).applyInArrow(_dictionary(rule, buckets), _SENT)
-    first = phrases.groupBy("bucket").applyInArrow(_merge_dictionaries, _ANSWER)
+    first = phrases.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_merge_dictionaries, _ANSWER)
     suffixes = by_block(texts).cogroup(by_block(first.where("kind = 1"))).applyInArrow(_suffixes(rule, buckets), _SENT)
-    second = suffixes.groupBy("bucket").applyInArrow(_merge_suffixes, _ANSWER)
+    second = suffixes.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_merge_suffixes(rule), _ANSWER)
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return by_block(texts).cogroup(by_block(first.unionByName(second))).applyInArrow(_remove(rule, with_text), ddl)
