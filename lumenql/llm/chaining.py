@@ -418,7 +418,7 @@ def passages(docs: DataFrame, rule: Chaining = Chaining()) -> DataFrame:
     block_of = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(blocks)).cast("long")
     texts = docs.withColumn("block", block_of("doc_id")).repartition(parts, "block")
     seeds = texts.groupBy("block").applyInArrow(_seeds(rule, buckets), "bucket int, block long, rows binary")
-    first = seeds.groupBy("bucket").applyInArrow(_first_places, "block long, bucket int, rows binary")
+    first = seeds.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_first_places, "block long, bucket int, rows binary")
     chains = texts.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(_chains(rule, buckets), "doc long, source long, base int, words binary, anchors binary")
     chains = chains.withColumn("block", block_of("source"))
     return texts.groupBy("block").cogroup(chains.groupBy("block")).applyInArrow(_aligned(rule), _PASSAGE_DDL)
@@ -457,6 +457,7 @@ def cut_passages(docs: DataFrame, rule: Chaining = Chaining()) -> DataFrame:
     while spans in docs.columns:
         spans += "_"
     found = saved(passages(docs, rule), "zpassages").groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias(spans))
-    joined = docs.join(found, "doc_id", "left").select(*docs.columns, spans)
+    named = [F.col(f"`{c}`") for c in docs.columns]
+    joined = docs.join(found, "doc_id", "left").select(*named, spans)
     after = joined.where(F.col(spans).isNotNull()).mapInArrow(_cut(spans), docs.schema).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return joined.where(F.col(spans).isNull()).drop(spans).unionByName(after)

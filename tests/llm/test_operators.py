@@ -636,3 +636,13 @@ def test_log_mel_by_blocks():
     assert np.array_equal(audio.log_mel(x, rule, 7), audio.log_mel(x, rule))
     slow = [np.round(32 * np.log10(np.abs(np.fft.rfft(x[a : a + rule.frame] * np.hanning(rule.frame))) ** 2 @ audio._mel(rule.bands, rule.frame, rule.rate * rule.up / rule.down) + 1.0)) for a in range(0, len(x) - rule.frame + 1, rule.hop)]
     assert np.abs(audio.log_mel(x, rule) - np.array(slow)).max() <= 1
+
+
+def test_suffix_ranks_are_the_order_of_suffixes():
+    rng = random.Random(8)
+    data = np.frombuffer(bytes(rng.choice(b"ab") for _ in range(400)) + b"ab" * 60, np.uint8)
+    for depth in (8, 13, 50):
+        start = np.arange(len(data) - depth + 1)
+        prefixes = [data[i : i + depth].tobytes() for i in start]
+        place = {p: k for k, p in enumerate(sorted(set(prefixes)))}
+        assert suffix_dedup.suffix_ranks(data, start, depth).tolist() == [place[p] for p in prefixes]
