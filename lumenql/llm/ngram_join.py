@@ -252,7 +252,7 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _may_link(percent: int, x: str, y: str, bits: list[str] = _BITS) -> Column:
-    """Exact bounds: sizes, and overlap <= (|x| + |y| - differing parity bits) / 2; of some of the sketch's words it holds too."""
+    """Exact bounds: sizes, and overlap <= (|x| + |y| - differing parity bits) / 2; of a folded sketch it holds too."""
     nx, ny = F.col(f"{x}.n").cast("long"), F.col(f"{y}.n").cast("long")
     sizes = 100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)
     differ = sum((F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in bits), F.lit(0))
@@ -328,8 +328,10 @@ def jaccard_components(docs: DataFrame, join: JaccardJoin = JaccardJoin()) -> Da
     largest = largest.where("components > 1").select("gid", F.col("m.c").alias("main"))
     spots = tally.select("gid", "part").distinct().join(largest.hint("merge"), "gid")
     spots = spots.join(spots.groupBy("gid").agg(F.collect_list("part").alias("parts")).hint("merge"), "gid")
-    some = _BITS[:4]
-    open_ = saved(named.join(spots.hint("merge"), ["gid", "part"]).join(reps_by.select(F.col("sig").alias("x"), "n", *some), "x"), "zopen")
+    # a sketch folded to half its words is one of parities too
+    some = [f"f{i}" for i in range(_SKETCH // 2)]
+    folded = [F.col(_BITS[i]).bitwiseXOR(F.col(_BITS[i + _SKETCH // 2])).alias(f) for i, f in enumerate(some)]
+    open_ = saved(named.join(spots.hint("merge"), ["gid", "part"]).join(reps_by.select(F.col("sig").alias("x"), "n", *folded), "x"), "zopen")
     outside = open_.where("c <> main").withColumn("at", F.explode("parts"))
     l, r = open_.where("c = main").alias("l"), outside.alias("r")
     one = l.join(r, (F.col("l.gid") == F.col("r.gid")) & (F.col("l.part") == F.col("r.at")) & _may_link(join.percent, "l", "r", some))
