@@ -233,4 +233,4 @@ def digests(found: DataFrame) -> DataFrame:
 
 def stored_features(docs: DataFrame, rule: AudioRule = AudioRule()) -> DataFrame:
     """The table of media_features(), written to the shared folder as are the clips that it is computed from."""
-    return saved(media_features(saved(clips(docs, rule), "clips"), rule), "features")
+    return saved(media_features(saved(clips(docs, rule), "zclips"), rule), "zfeatures")
