@@ -23,6 +23,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,29 +72,40 @@ class _Words:
             for o in range(w):
                 chosen[o : o + len(least)] |= (grams[o : o + len(least)] == least) & whole
             at = np.flatnonzero(chosen)
-            self.plain, self.row = grams[at], row[at]
+            self.plain, self.row = grams[at], row[at].astype(np.int32)
             self.seed = _numbered(self.plain, self.row)
         else:
-            at, self.plain, self.seed, self.row = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            at, self.plain, self.seed, self.row = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.place = (at - self.first[self.row]).astype(np.int32)
-        self.doc = self.docs[self.row]
+
+    @property
+    def doc(self) -> np.ndarray:
+        return self.docs[self.row]
 
 
 def _numbered(seed: np.ndarray, row: np.ndarray) -> np.ndarray:
     """Seeds that tell a k-mer's first, second, ... occurrence in a text apart, so that repetitive texts match place by place."""
-    order = np.lexsort((seed, row))
-    s, r = seed[order], row[order]
-    begin = np.concatenate([[True], (s[1:] != s[:-1]) | (r[1:] != r[:-1])]) if len(s) else np.zeros(0, bool)
-    index = np.arange(len(s))
+    # a text's own order of seeds; only those that occur again are ordered by their places
+    own = K.mix(seed ^ (row.astype(np.uint64) * K._SLOT[0]))
+    order = np.argsort(own)
+    s = own[order]
+    same = s[1:] == s[:-1]
+    if not same.any():
+        return seed
+    often = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+    often = often[np.lexsort((often, own[often]))]
+    begin = np.concatenate([[True], own[often[1:]] != own[often[:-1]]])
+    index = np.arange(len(often))
     turn = index - np.maximum.accumulate(np.where(begin, index, 0))
+    again, turn = often[turn > 0], turn[turn > 0]
     out = seed.copy()
-    again = turn > 0
-    out[order[again]] = K.mix(s[again] + turn[again].astype(np.uint64) * K._SLOT[0])
+    out[again] = K.mix(seed[again] + turn.astype(np.uint64) * K._SLOT[0])
     return out
 
 
 def _read(table: pa.Table, rule: Chaining, seeds: bool = True) -> Iterator[_Words]:
-    for batch in K.slices(iter(table.select(["doc_id", "text"]).combine_chunks().to_batches())):
+    """In order of doc_id."""
+    for batch in K.slices(iter(table.select(["doc_id", "text"]).sort_by("doc_id").combine_chunks().to_batches())):
         yield _Words(batch, rule, seeds)
 
 
@@ -103,24 +115,40 @@ def _key(seed: np.ndarray, buckets: int) -> np.ndarray:
     return ((seed % many) << np.uint64(32)) | ((seed // many) & np.uint64(0xFFFFFFFF))
 
 
-def _firsts(key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Places of the smallest (doc, place) of each key, in order of key."""
-    turn = np.lexsort((place, doc))
-    if not len(turn):
-        return turn
-    rank = np.empty(len(turn), np.int64)
-    rank[turn] = np.arange(len(turn))
+def _in_order(doc: np.ndarray, place: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """All arrays in order of (doc, place); most come in that order, or in runs of it."""
+    rises = lambda d, p: ((d[1:] > d[:-1]) | ((d[1:] == d[:-1]) & (p[1:] >= p[:-1]))).all()
+    arrays = (doc, place, *more)
+    if rises(doc, place):
+        return arrays
+    turn = np.argsort(doc, kind="stable")
+    if not rises(doc[turn], place[turn]):
+        turn = np.lexsort((place, doc))
+    return tuple(a[turn] for a in arrays)
+
+
+def _firsts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each key occurs first, in order of key; the number of each place's key)."""
+    if not len(key):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     order = np.argsort(key)
     s = key[order]
-    return turn[np.minimum.reduceat(rank[order], np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])))]
+    head = np.concatenate([[True], s[1:] != s[:-1]])
+    number = np.empty(len(key), np.int64)
+    number[order] = np.cumsum(head) - 1
+    return np.minimum.reduceat(order, np.flatnonzero(head)), number
+
+
+def _narrow(numbers: np.ndarray, below: int) -> np.ndarray:
+    """Integers of 16 bits, where they fit, are sorted by radix."""
+    return numbers.astype(np.uint16 if below <= 1 << 16 else np.int32)
 
 
 def _packed(short: np.ndarray, doc: np.ndarray, place: np.ndarray) -> bytes:
-    """Seeds in order of their places: steps between documents, and bytes of one weight side by side, compress well."""
-    order = np.lexsort((place, doc))
-    step = np.diff(doc[order], prepend=doc.dtype.type(0))
-    planes = (x.view(np.uint8).reshape(len(order), -1).T.tobytes() for x in (step.astype("<i8"), place[order].astype("<i4")))
-    return len(order).to_bytes(4, "little") + pa.compress(short[order].astype("<u4").tobytes() + b"".join(planes), "zstd", asbytes=True)
+    """Seeds in order of (doc, place): steps between documents, and bytes of one weight side by side, compress well."""
+    step = np.diff(doc, prepend=doc.dtype.type(0))
+    planes = (x.view(np.uint8).reshape(len(doc), -1).T.tobytes() for x in (step.astype("<i8"), place.astype("<i4")))
+    return len(doc).to_bytes(4, "little") + pa.compress(short.astype("<u4").tobytes() + b"".join(planes), "zstd", asbytes=True)
 
 
 def _unpacked(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -137,12 +165,12 @@ def _unpacked(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 def _seeds(rule: Chaining, buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        found = [(w.seed, w.doc, w.place) for w in _read(table, rule)]
-        seed, doc, place = (np.concatenate(x) for x in zip(*found, strict=True))
-        once = _firsts(_key(seed, buckets), doc, place)
+        found = [(w.doc, w.place, w.seed) for w in _read(table, rule)]
+        doc, place, seed = _in_order(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        once = np.sort(_firsts(_key(seed, buckets))[0])
         seed, doc, place = seed[once], doc[once], place[once]
         short = (seed // np.uint64(buckets)).astype(np.uint32)
-        order, cut = K.grouped((seed % np.uint64(buckets)).astype(np.int32))
+        order, cut = K.grouped(_narrow(seed % np.uint64(buckets), buckets))
         parts = [(int(seed[i[0]] % np.uint64(buckets)), _packed(short[i], doc[i], place[i])) for i in (order[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True))]
         block = table.column("block")[0].as_py()
         return pa.table({"bucket": pa.array([b for b, _ in parts], pa.int32()), "block": pa.array([block] * len(parts), pa.int64()), "rows": pa.array([x for _, x in parts], pa.binary())})
@@ -155,14 +183,16 @@ def _first_places(table: pa.Table) -> pa.Table:
     short, doc, place, row = _unpacked(table.column("rows"))
     bucket = table.column("bucket")[0].as_py()
     blocks = table.column("block").to_numpy()
-    once = _firsts(short, doc, place)
-    of = once[np.searchsorted(short[once], short)]
+    doc, place, short, row = _in_order(doc, place, short, row)
+    once, number = _firsts(short)
+    of = once[number]
     later = np.flatnonzero(doc > doc[of])
-    order, cut = K.grouped(row[later])
+    order, cut = K.grouped(_narrow(row[later], len(blocks)))
     later = later[order]
     out = []
     for a, b in zip(cut[:-1], cut[1:], strict=True):
         i = later[a:b]
+        i = i[np.argsort(of[i])]
         out.append((int(blocks[row[i[0]]]), _packed(short[i], doc[of[i]], place[of[i]])))
     return pa.table({"block": pa.array([o[0] for o in out], pa.int64()), "bucket": pa.array([bucket] * len(out), pa.int32()), "rows": pa.array([o[1] for o in out], pa.binary())})
 
@@ -224,16 +254,26 @@ def _chains(rule: Chaining, buckets: int):
             known = (answers.column("bucket").to_numpy().astype(np.uint64)[row] << np.uint64(32)) | short
             order = np.argsort(known)
             known, source, at = known[order], source[order], at[order]
-            own = [(_key(w.seed, buckets), w.doc, w.place) for w in _read(texts, rule)]
-            key, doc, place = (np.concatenate(c) for c in zip(*own, strict=True))
-            once = _firsts(key, doc, place)
+            held = list(_read(texts, rule))
+            own = [(w.doc, w.place, _key(w.seed, buckets)) for w in held]
+            doc, place, key = (np.concatenate(c) for c in zip(*own, strict=True))
+            del own
+            doc, place, key, turn = _in_order(doc, place, key, np.arange(len(key)))
+            once, number = _firsts(key)
+            key, doc, place = key[once], doc[once], place[once]
             # a first place in another block comes before all of this one's
-            left = ~np.isin(key[once], known)
-            known, source, at = (np.concatenate([a, b[once][left]]) for a, b in ((known, key), (source, doc), (at, place)))
-            order = np.argsort(known)
-            known, source, at = known[order], source[order], at[order]
-            for w in _read(texts, rule):
-                i = np.searchsorted(known, _key(w.seed, buckets))
+            spot = np.searchsorted(known, key)
+            left = np.ones(len(key), bool)
+            inside = spot < len(known)
+            left[inside] = known[spot[inside]] != key[inside]
+            known, source, at = (np.insert(a, spot[left], b[left]) for a, b in ((known, key), (source, doc), (at, place)))
+            # where the own seeds' keys are among all
+            entry = np.empty(len(turn), np.int64)
+            entry[turn] = (spot + np.cumsum(left) - left)[number]
+            begin = 0
+            for w in held:
+                i = entry[begin : begin + len(w.seed)]
+                begin += len(w.seed)
                 # an occurrence that no earlier document has as often matches the first place of the k-mer
                 alone = np.flatnonzero((w.seed != w.plain) & (source[i] >= w.doc))
                 i[alone] = np.searchsorted(known, _key(w.plain[alone], buckets))
@@ -337,6 +377,19 @@ def _ends(a: list[int], b: list[int], edits: tuple[int, ...]) -> list[tuple[int,
     return [(i, j, common_words(a[:i], b[:j])) for i, j in ways]
 
 
+def _hopeless(common: int, in_a: int, in_b: int, ends: list[tuple[list[int], list[int]]], rule: Chaining) -> bool:
+    """Whether no extension of these many words makes a passage: with c common words at most it has c / similarity
+    words at most in either text, and ends cut to that leave fewer common words."""
+    for alike in (lambda a, b: (Counter(a) & Counter(b)).total(), common_words):
+        size = -1
+        while size != (size := sum(len(a) + len(b) for a, b in ends)):
+            most = int((common + sum(alike(a, b) for a, b in ends)) / rule.similarity + 1e-9)
+            if most < max(rule.min_words, in_a, in_b):
+                return True
+            ends = [(a[: most - in_a], b[: most - in_b]) for a, b in ends]
+    return False
+
+
 def align(a: list[int], b: list[int], anchors: list[tuple[int, int, int]], rule: Chaining) -> tuple[int, int, int, int, int] | None:
     """(from, to in a, from, to in b, common words) of the chain's alignment with most common words that is similar and long enough; None without one.
 
@@ -354,6 +407,8 @@ def align(a: list[int], b: list[int], anchors: list[tuple[int, int, int]], rule:
         common += common_words(a[i:x], b[j:y]) + n
         i, j = x + n, y + n
     x, y = left
+    if _hopeless(common, i - x, j - y, [(a[:x][::-1], b[:y][::-1]), (a[i:], b[j:])], rule):
+        return None
     for edits in (_USUAL, _WIDE):
         before, after = _ends(a[:x][::-1], b[:y][::-1], edits), _ends(a[i:], b[j:], edits)
         found = [(x - l[0], i + r[0], y - l[1], j + r[1], common + l[2] + r[2]) for l, r in product(before, after)]  # noqa: E741
@@ -371,12 +426,10 @@ def _aligned(rule: Chaining):
     def run(texts: pa.Table, chains: pa.Table) -> pa.Table:
         found = []
         if texts.num_rows and chains.num_rows:
-            wanted = set(chains.column("source").to_pylist())
             words: dict[int, list[np.ndarray]] = {}
-            for w in _read(texts, rule, seeds=False):
+            for w in _read(texts.filter(pc.is_in(texts.column("doc_id"), chains.column("source"))), rule, seeds=False):
                 for r, d in enumerate(w.docs.tolist()):
-                    if d in wanted:
-                        words.setdefault(d, []).append(w.words[w.first[r] : w.first[r + 1]].copy())
+                    words.setdefault(d, []).append(w.words[w.first[r] : w.first[r + 1]].copy())
             rows = []
             for doc, source, base, blob, packed in zip(*(chains.column(c).to_pylist() for c in ("doc", "source", "base", "words", "anchors")), strict=True):
                 anchors = np.frombuffer(packed, np.int32).reshape(3, -1)
