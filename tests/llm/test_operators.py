@@ -225,6 +225,46 @@ def test_chains_by_fenwick_equal_quadratic():
         assert value == pytest.approx(max(score))
 
 
+def test_bound_on_ends_loses_no_alignment(monkeypatch):
+    rng = random.Random(7)
+    rule = chaining.Chaining()
+    cases = []
+    for _ in range(400):
+        shared = [rng.randrange(60) for _ in range(rng.randint(7, 70))]
+        change = rng.choice((0.0, 0.1, 0.2, 0.3))
+        near = [w if rng.random() >= change else rng.randrange(60) for w in shared]
+        a, b = ([rng.randrange(60) for _ in range(rng.randint(0, 100))] for _ in range(2))
+        at = rng.randrange(len(shared) - 6)
+        near[at : at + 7] = shared[at : at + 7]
+        cases.append((a + shared + b, b + near + a, [(len(a) + at, len(b) + at, 7)]))
+    bounded = [chaining.align(*c, rule) for c in cases]
+    monkeypatch.setattr(chaining, "_hopeless", lambda *_: False)
+    assert bounded == [chaining.align(*c, rule) for c in cases]
+    assert None in bounded and any(bounded)
+
+
+def test_seeds_are_numbered_by_place_within_a_text():
+    rng = np.random.default_rng(3)
+    seed, row = rng.integers(0, 6, 200).astype(np.uint64), np.sort(rng.integers(0, 9, 200)).astype(np.int32)
+    seen, turns = {}, []
+    for pair in zip(seed.tolist(), row.tolist(), strict=True):
+        seen[pair] = seen.get(pair, -1) + 1
+        turns.append((pair[0], seen[pair]))
+    numbered = chaining._numbered(seed, row).tolist()
+    assert len(set(numbered)) == len(set(turns)) == len(set(zip(numbered, turns, strict=True)))
+    assert all(n == s for n, (s, turn) in zip(numbered, turns, strict=True) if not turn)
+
+
+def test_seeds_in_any_order_of_rows_keep_their_first_places():
+    rng = np.random.default_rng(5)
+    doc, place, key = rng.integers(0, 9, 300), rng.integers(0, 40, 300).astype(np.int32), rng.integers(0, 50, 300).astype(np.uint64)
+    doc, place, key = chaining._in_order(doc, place, key)
+    once, number = chaining._firsts(key)
+    least = {k: min((d, p) for d, p, x in zip(doc, place, key, strict=True) if x == k) for k in set(key.tolist())}
+    assert {int(k): (d, p) for k, d, p in zip(key[once], doc[once], place[once], strict=True)} == least
+    assert (key[once][number] == key).all()
+
+
 def test_chains_keep_to_the_longest_gap():
     rng = random.Random(14)
     rule = chaining.Chaining()
