@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lumenql.llm import kernel as K
 from lumenql.llm.components import components
-from lumenql.llm.shared import bounded_buckets, dealt, dropped_since, mark, saved, ship, summed, text_bytes, unpack_all
+from lumenql.llm.shared import bounded_buckets, dealt, dropped_since, mark, parted, saved, ship, summed, text_bytes, unpack_all
 
 CELLS = 1 << 18
 _SLICES = 16
@@ -363,6 +363,8 @@ def keep_one(docs: DataFrame, join: JaccardJoin = JaccardJoin()) -> DataFrame:
     """The documents whose doc_id is their component's smallest, and those without doc_id; rows that repeat a kept doc_id all stay.
 
     An empty table gives an empty one; other columns are kept whatever their names."""
-    found = jaccard_components(docs, join).where("component_id <> doc_id").select("doc_id")
+    found = saved(jaccard_components(docs, join).where("component_id <> doc_id").select("doc_id"), "zdropped")
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"))
-    return whole.join(found, "doc_id", "left_anti").select("_row.*")
+    # whole documents are wide: only those that a filter of the ids can't rule out are joined
+    sure, other = parted(whole, "doc_id", found)
+    return sure.unionByName(other.join(found, "doc_id", "left_anti")).select("_row.*")

@@ -92,6 +92,28 @@ def _sweep() -> None:
             return
 
 
+#: Bits of the largest filter of parted(): 2 MB, whatever the corpus.
+_FILTER_BITS = 1 << 24
+
+
+def parted(docs: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of `docs` whose `key` surely isn't in `ids`, the other rows), by a Bloom filter of `ids`.
+
+    Both have a long column `key`; docs has no column _bits.  Only the other rows need a join with `ids`, so what is sure isn't
+    shuffled.  The filter has about 16 bits for each id up to 2 MB, which a million ids fill; with more, more rows are unsure."""
+    bits = min(_FILTER_BITS, max(1 << 16, 1 << (16 * ids.count()).bit_length()))
+    places = lambda: [F.pmod(F.xxhash64(F.col(key), F.lit(i)), F.lit(bits)) for i in range(3)]
+    set_ = ids.select(F.explode(F.array(*places())).alias("at")).select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, int(at & 63))").alias("bit"))
+    words = docs.sparkSession.range(bits >> 6).join(set_.groupBy("word").agg(F.bit_or("bit").alias("w")), F.col("id") == F.col("word"), "left")
+    one = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("w", F.lit(0)).alias("w")))), lambda x: x["w"]).alias("_bits"))
+    beside = docs.crossJoin(F.broadcast(saved(one, "zbits")))
+    maybe = F.lit(True)
+    for at in places():
+        bit = F.lit(1).cast("long").bitwiseAND(F.call_function("shiftright", F.get("_bits", F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")))
+        maybe = maybe & (bit == 1)
+    return beside.where(~maybe).drop("_bits"), beside.where(maybe).drop("_bits")
+
+
 def bounded_buckets(total_bytes: int, each: int, least: int = 12) -> int:
     """How many buckets keep one at `each` bytes when hashes deal `total_bytes` out."""
     return max(least, -(-total_bytes // each))

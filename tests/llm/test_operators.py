@@ -11,6 +11,7 @@ import pytest
 
 from lumenql.llm import audio, chaining, components, kernel, langid, lexicon, licences, mixing, ngram_join, quality, repair, suffix_dedup
 from lumenql.llm.queries import tokenizer
+from lumenql.llm.shared import parted
 from tests.llm.helpers import corpus, features, frame, links, without_repeats, words
 
 ROWS = corpus()
@@ -169,6 +170,16 @@ def test_keep_one_with_dotted_names(spark):
     assert kept.columns == rows.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
 
 
+def test_parted(spark):
+    docs = spark.range(20_000).selectExpr("IF(id = 7, NULL, id) AS doc_id", "id AS row")
+    for ids in (spark.range(0), spark.range(0, 20_000, 13)):
+        ids = ids.withColumnRenamed("id", "doc_id")
+        sure, other = parted(docs, "doc_id", ids)
+        assert sorted(r.row for r in sure.unionByName(other).collect()) == list(range(20_000))
+        assert sure.join(ids, "doc_id", "left_semi").isEmpty()
+        assert other.count() <= 1.1 * ids.count()
+
+
 @pytest.mark.parametrize("bound", [0, 10, 1 << 20])
 def test_components_with_bound(spark, bound):
     rng = random.Random(4)
