@@ -19,6 +19,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,9 @@ ODD = regex.compile(
     "\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]|<[|]"
 )
 
+#: Bytes of words whose next merge is looked for among all pairs; longer ones have a heap of pairs.
+_SHORT = 64
+
 
 @dataclass(frozen=True)
 class Lexicon:
@@ -66,13 +70,38 @@ class Merger:
             whole = json.load(f)
         model = whole["model"]
         self.vocab: dict[str, int] = model["vocab"]
-        pairs = (tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"])
+        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.rank = {p: i for i, p in enumerate(pairs)}
         self.end = model.get("end_of_word_suffix") or ""
         self.tokens = {i: t for t, i in self.vocab.items()} | {t["id"]: t["content"] for t in whole.get("added_tokens") or ()}
         self.letters = _byte_letters()
+        inner, last = ([self.vocab.get(c + end, -1) for c in self.letters] for end in ("", self.end))
+        self.first_ids = None if min(inner + last) < 0 else (inner, last)
+        # the pair of ids a, b is the number a * width + b
+        self.width = max(self.vocab.values()) + 1
+        self.pair_rank = {self.vocab[a] * self.width + self.vocab[b]: i for (a, b), i in self.rank.items()} if self.first_ids else {}
+        self.made = [self.vocab[a + b] for a, b in pairs] if self.first_ids else []
 
     def ids(self, word: str) -> list[int]:
+        raw = word.encode()
+        if self.first_ids is None or len(raw) > _SHORT:
+            return self._ids_by_heap(word)
+        inner, last = self.first_ids
+        out = [inner[b] for b in raw]
+        out[-1] = last[raw[-1]]
+        rank, width, none = self.pair_rank.get, self.width, len(self.made)
+        ranks = [rank(a * width + b, none) for a, b in zip(out, out[1:], strict=False)]
+        while ranks and (least := min(ranks)) < none:
+            i = ranks.index(least)
+            out[i] = made = self.made[least]
+            del out[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = rank(out[i - 1] * width + made, none)
+            if i < len(ranks):
+                ranks[i] = rank(made * width + out[i + 1], none)
+        return out
+
+    def _ids_by_heap(self, word: str) -> list[int]:
         parts: list[str | None] = [self.letters[b] for b in word.encode()]
         parts[-1] += self.end  # type: ignore[operator]
         n = len(parts)
@@ -175,6 +204,36 @@ class Automaton:
 
         self.first, self.target, self.skip = take(states + 1, "I"), take(edges, "I"), take(edges, "I")
         self.starts, self.ids, self.final, self.label = take(words + 1, "I"), take(ids, "I"), take(states, "B"), take(edges, "B")
+        first, self._target, self._skip = (np.frombuffer(x, np.uint32).astype(np.int64) for x in (self.first, self.target, self.skip))
+        self._final = np.frombuffer(self.final, np.uint8) > 0
+        # edges by state and label: ascending
+        self._edges = np.repeat(np.arange(states), np.diff(first)) << 8 | np.frombuffer(self.label, np.uint8)
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The number of each word, or -1: all of them take a step at a time."""
+        raw = [w.encode() for w in words]
+        size = np.array([len(r) for r in raw], np.int64)
+        data, begin = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(size) - size
+        state, passed = np.zeros(len(raw), np.int64), np.zeros(len(raw), np.int64)
+        out, on, step = np.full(len(raw), -1), np.arange(len(raw)), 0
+        while len(on):
+            ended = size[on] == step
+            done = on[ended]
+            out[done] = np.where(self._final[state[done]], passed[done], -1)
+            on = on[~ended]
+            if not len(self._edges):
+                break
+            key = state[on] << 8 | data[begin[on] + step]
+            at = np.minimum(np.searchsorted(self._edges, key), len(self._edges) - 1)
+            there = self._edges[at] == key
+            on, at = on[there], at[there]
+            passed[on] += self._skip[at]
+            state[on] = self._target[at]
+            step += 1
+        return out
+
+    def ids_of(self, number: int) -> list[int]:
+        return self.ids[self.starts[number] : self.starts[number + 1]].tolist()
 
     def find(self, word: str) -> list[int] | None:
         state = passed = 0
@@ -200,6 +259,7 @@ class Encoder:
         self.path = path
         self.merger = merger(path)
         self.automaton = Automaton(blob)
+        self.spaced = {i: f"{t} ".encode() for i, t in self.merger.tokens.items()}
         self.table = PieceTable(self._pieces, (np.uint16, np.uint8), rule.remembered)
         self._library = None
 
@@ -213,22 +273,24 @@ class Encoder:
 
     def _pieces(self, pieces: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids and decoded bytes, with a space after each token, of pieces without white space."""
-        tokens, find, merge = self.merger.tokens, self.automaton.find, self.merger.ids
+        cut = [None if ODD.search(piece) else WORD.findall(piece.lower()) for piece in pieces]
+        words = list(dict.fromkeys(chain.from_iterable(c for c in cut if c)))
+        merge, ids_of = self.merger.ids, self.automaton.ids_of
+        known = {w: merge(w) if k < 0 else ids_of(k) for w, k in zip(words, self.automaton.numbers(words).tolist(), strict=True)}
         ids: list[int] = []
-        many, shown, sizes = [], [], []
-        for piece in pieces:
-            own: list[int] = []
-            if ODD.search(piece):
+        many, shown = [], []
+        spaced = self.spaced.__getitem__
+        for piece, own_words in zip(pieces, cut, strict=True):
+            if own_words is None:
                 own = self.library.encode(piece, add_special_tokens=False).ids
+            elif len(own_words) == 1:
+                own = known[own_words[0]]
             else:
-                for word in WORD.findall(piece.lower()):
-                    found = find(word)
-                    own += merge(word) if found is None else found
+                own = [i for w in own_words for i in known[w]]
             ids += own
             many.append(len(own))
-            text = "".join([tokens[i] + " " for i in own]).encode()
-            shown.append(text)
-            sizes.append(len(text))
+            shown.append(b"".join(map(spaced, own)))
+        sizes = list(map(len, shown))
         return [(np.array(ids, np.uint16), np.array(many, np.int32)), (np.frombuffer(b"".join(shown), np.uint8), np.array(sizes, np.int32))]
 
     def encode(self, texts: pa.Array) -> list[tuple[np.ndarray, bytes]]:

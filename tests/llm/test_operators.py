@@ -753,3 +753,17 @@ def test_suffix_dedup_documents_of_any_size():
         blob = memoryview(suffix_dedup._steps(np.array(docs)) + b"rest")
         got, at = suffix_dedup._from_steps(blob)
         assert got.tolist() == docs and bytes(blob[at:]) == b"rest"
+
+
+def test_bpe_merges_and_lookups_equal_the_plain_ones():
+    """Merges without a heap, and words looked up together, against one pair and one word at a time."""
+    rng = random.Random(21)
+    merge = lexicon.merger(tokenizer("word_bpe_49k.json"))
+    made = ["".join(rng.choice("aaeinrstl'éß日#1") for _ in range(rng.randint(1, 90))) for _ in range(3000)] + ["a" * 64, "a" * 65, "é" * 32]
+    assert [merge.ids(w) for w in made] == [merge._ids_by_heap(w) for w in made]
+    automaton = lexicon.Automaton(lexicon.compiled({w: merge.ids(w) for w in made[::2]}))
+    asked = [*made, *(w[:-1] or "b" for w in made), "zzz", *(w + "x" for w in made)]
+    got = [None if k < 0 else automaton.ids_of(k) for k in automaton.numbers(asked).tolist()]
+    assert got == [automaton.find(w) for w in asked]
+    none = lexicon.Automaton(lexicon.compiled({}))
+    assert none.numbers(["a", "b"]).tolist() == [-1, -1] and none.numbers([]).tolist() == []
