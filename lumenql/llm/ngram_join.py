@@ -16,7 +16,7 @@ A group of m near copies would have m * m / 2 pairs.  Each group has a hub, the
 as an original does with its copies.  Each set is verified against one hub first, then against the
 other hubs of its groups; afterwards pairs count only if their ends are still in different components.  So no link
 between components is lost, and none within one is enumerated.  A group is kept in parts of bounded
-size: its largest component stays where it is, and the members outside go to each part.
+size: its members outside the largest component go to each part, and meet that component's sets once for all groups they share with it.
 """
 
 from __future__ import annotations
@@ -332,20 +332,32 @@ def jaccard_components(docs: DataFrame, join: JaccardJoin = JaccardJoin()) -> Da
     some = [f"f{i}" for i in range(_SKETCH // 2)]
     folded = [F.col(_BITS[i]).bitwiseXOR(F.col(_BITS[i + _SKETCH // 2])).alias(f) for i, f in enumerate(some)]
     open_ = saved(named.join(spots.hint("merge"), ["gid", "part"]).join(reps_by.select(F.col("sig").alias("x"), "n", *folded), "x"), "zopen")
-    outside = open_.where("c <> main").withColumn("at", F.explode("parts"))
-    l, r = open_.where("c = main").alias("l"), outside.alias("r")
-    one = l.join(r, (F.col("l.gid") == F.col("r.gid")) & (F.col("l.part") == F.col("r.at")) & _may_link(join.percent, "l", "r", some))
+    # what a set shares with any set of another component, at most
+    reach = saved(open_.groupBy("x").agg(F.max("c").alias("c"), F.sum("weight").alias("reach")), "zreach")
+    facts_of = reach.join(reps_by.select(F.col("sig").alias("x"), "n", *_BITS), "x")
+    # sets outside a group's largest component meet that component once, however many groups they share with it
+    spread = reach.groupBy("c").agg((1 + F.floor(F.count("*") / join.part)).cast("long").alias("spread"))
+    within = facts_of.join(spread.hint("merge"), "c").withColumn("at", F.pmod(F.xxhash64("x"), "spread"))
+    beside = open_.where("c <> main").select("x", "main").distinct().join(spread.withColumnRenamed("c", "main").hint("merge"), "main")
+    beside = beside.join(facts_of.drop("c").hint("merge"), "x").withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("spread") - 1)))
+    reached = join.enough(F.col("l.n"), F.col("r.n"), F.least("l.reach", "r.reach"))
+    l, r = within.alias("l"), beside.alias("r")
+    one = l.join(r.hint("merge"), (F.col("l.c") == F.col("r.main")) & (F.col("l.at") == F.col("r.at")) & reached & _may_link(join.percent, "l", "r"))
+    one = one.select(F.least("l.x", "r.x").alias("a"), F.greatest("l.x", "r.x").alias("b"), (F.col("l.n") + F.col("r.n")).cast("long").alias("n_both"))
+    outside = open_.where("c <> main").join(reach.select("x", "reach").hint("merge"), "x").withColumn("at", F.explode("parts"))
     # two parts meet once, as (smaller, larger)
     ranged = outside.select("*", F.least("part", "at").alias("low"), F.greatest("part", "at").alias("high"))
     l, r = ranged.alias("l"), ranged.alias("r")
     meet = (F.col("l.gid") == F.col("r.gid")) & (F.col("l.low") == F.col("r.low")) & (F.col("l.high") == F.col("r.high"))
-    two = l.join(r, meet & (F.col("l.x") < F.col("r.x")) & (F.col("l.c") != F.col("r.c")) & ((F.col("l.part") != F.col("r.part")) | (F.col("l.low") == F.col("l.high"))) & _may_link(join.percent, "l", "r", some))
-    pair = lambda df: df.select(F.least("l.x", "r.x").alias("a"), F.greatest("l.x", "r.x").alias("b"), F.col("l.n").alias("nx"), F.col("r.n").alias("ny"), F.col("l.weight").alias("weight"))
-    across = pair(one).unionByName(pair(two)).groupBy("a", "b", F.least("nx", "ny").alias("nx"), F.greatest("nx", "ny").alias("ny")).agg(F.sum("weight").alias("weight"))
+    two = l.join(r, meet & (F.col("l.x") < F.col("r.x")) & (F.col("l.c") != F.col("r.c")) & ((F.col("l.part") != F.col("r.part")) | (F.col("l.low") == F.col("l.high"))) & reached & _may_link(join.percent, "l", "r", some))
+    two = two.select(F.col("l.x").alias("a"), F.col("r.x").alias("b"), F.col("l.n").alias("nx"), F.col("r.n").alias("ny"), F.col("l.weight").alias("weight"))
+    # pairs that meet nowhere else have all their shared n-grams here; the others are in `one`
+    across = two.groupBy("a", "b", "nx", "ny").agg(F.sum("weight").alias("weight"))
     across = across.where(join.enough(F.col("nx"), F.col("ny"), F.col("weight"))).alias("p")
     across = across.join(reps.alias("ra"), F.col("p.a") == F.col("ra.sig")).join(reps.alias("rb"), F.col("p.b") == F.col("rb.sig")).where(_may_link(join.percent, "ra", "rb"))
     across = across.select("p.a", "p.b", (F.col("p.nx") + F.col("p.ny")).cast("long").alias("n_both"))
-    second = saved(across.join(first, ["a", "b"], "left_anti").join(also, ["a", "b"], "left_anti"), "zpairs")
+    second = one.unionByName(across).distinct()
+    second = saved(second.join(first, ["a", "b"], "left_anti").join(also, ["a", "b"], "left_anti"), "zpairs")
     more = saved(verified(second), "zlinks")
 
     by_class = saved(components(links.unionByName(more)), "zcomponents").join(reps_by.select(F.col("sig").alias("node"), "rep"), "node")

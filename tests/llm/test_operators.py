@@ -767,3 +767,53 @@ def test_bpe_merges_and_lookups_equal_the_plain_ones():
     assert got == [automaton.find(w) for w in asked]
     none = lexicon.Automaton(lexicon.compiled({}))
     assert none.numbers(["a", "b"]).tolist() == [-1, -1] and none.numbers([]).tolist() == []
+
+
+def _join_rows(plan) -> list[int]:
+    """Rows that each join of an executed plan made."""
+    name = plan.nodeName()
+    if name.startswith("AdaptiveSparkPlan"):
+        return _join_rows(plan.executedPlan())
+    if "QueryStage" in name:
+        return _join_rows(plan.plan())
+    below = plan.children()
+    own = [plan.metrics().apply("numOutputRows").value()] if "Join" in name else []
+    return own + [n for i in range(below.size()) for n in _join_rows(below.apply(i))]
+
+
+def test_jaccard_groups_that_nearly_link_meet_once(spark, monkeypatch):
+    """Two groups of near copies that share hundreds of n-grams, but not enough to link, and one text that links both to a third."""
+    rng = random.Random(8)
+
+    def edited(words, n):
+        out = list(words)
+        for i in rng.sample(range(len(out)), n):
+            out[i] = f"e{rng.random()}"
+        return out
+
+    base = [f"w{rng.random()}" for _ in range(1500)]
+    far = edited(base, 75)
+    texts = [edited(base, 20) for _ in range(14)] + [edited(far, 20) for _ in range(14)]
+    other = [f"v{rng.random()}" for _ in range(400)]
+    texts += [other, edited(other, 8), edited(other, 11)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    made = []
+    plain = ngram_join.saved
+
+    def saved(df, name, *rest):
+        if name == "zpairs":
+            # adaptive plans drop what an empty side makes needless
+            spark.conf.set("spark.sql.adaptive.enabled", "false")
+            df = df.select("*")
+            df.collect()
+            made.append(_join_rows(df._jdf.queryExecution().executedPlan()))
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+        return plain(df, name, *rest)
+
+    monkeypatch.setattr(ngram_join, "saved", saved)
+    # of many texts' n-grams few are frequent: the order is by hash
+    monkeypatch.setattr(ngram_join, "_levels", lambda counts: np.zeros(len(counts), np.uint8))
+    got = by_id(ngram_join.jaccard_components(frame(spark, [(*r, "en", "s") for r in rows])), "n_shingles", "component_id")
+    assert got == links(rows) and len({c for _, c in got.values()}) > 2
+    # sets outside a group's largest component still meet each other once a group
+    assert made[-1] and max(made[-1]) < 20_000
